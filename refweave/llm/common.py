@@ -152,3 +152,11 @@ def components(links: DataFrame) -> DataFrame:
             break
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def component_ids(members: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component_id: the smallest did that links (u, v: nodes) reach from each node of members (did, node) that has any."""
+    roots = staged(components(links), "roots")
+    least = members.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(F.min("did").alias("did"))
+    of = least.join(roots, "node")
+    return of.select("node", "root").join(of.groupBy("root").agg(F.min("did").alias("component_id")), "root").select("node", "component_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _U = np.uint64
@@ -90,6 +92,15 @@ def words(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return np.concatenate(hashes), s, np.concatenate(ends), np.searchsorted(s, offsets, "left")
 
 
+def doc_slices(offsets: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about most bytes, or one longer document."""
+    doc, docs = 0, len(offsets) - 1
+    while doc < docs:
+        to = max(doc + 1, int(np.searchsorted(offsets, offsets[doc] + most, "right")) - 1)
+        yield doc, to
+        doc = to
+
+
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values, by doubling: as long as hashes, and of no use in the last k - 1 places."""
     out, part, width, done = np.zeros(0, _U), hashes.astype(_U, copy=True), 1, 0
@@ -135,9 +146,7 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int, k: int, table:
     values; a longer one is cut into pieces that overlap by a window, so memory is bounded however long a text is.
     """
     parts = []
-    doc, docs = 0, len(bounds) - 1
-    while doc < docs:
-        to = max(doc + 1, int(np.searchsorted(bounds, bounds[doc] + BLOCK, "right")) - 1)
+    for doc, to in doc_slices(bounds, BLOCK):
         for at in range(int(bounds[doc]), max(int(bounds[doc]) + 1, int(bounds[to]) - window + 1), BLOCK) if to == doc + 1 else (int(bounds[doc]),):
             end = min(int(bounds[to]), at + BLOCK + window - 1) if to == doc + 1 else int(bounds[to])
             values = hashes[at:end] if table is None else table[hashes[at:end]]
@@ -145,7 +154,6 @@ def segments(hashes: np.ndarray, bounds: np.ndarray, window: int, k: int, table:
             found = _segments(values, cut, window, k)
             if found is not None:
                 parts.append((found[0] + at, *found[1:4], found[4] + doc))
-        doc = to
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(_U), none.astype(_U), none

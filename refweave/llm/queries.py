@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import jaccard_join, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op5_suffix_dedup": suffix_dedup.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
 }

@@ -75,16 +75,20 @@ def _cut(window: int, k: int, by_words: bool, first: bool):
             if not batch.num_rows:
                 continue
             body, offsets = text_buffers(batch.column("text"))
-            if by_words:
-                values, _, _, bounds = hashing.words(body, offsets)
-                start, windows, anchor, content, doc = hashing.segments(values, bounds, window, k)
-            else:
-                bounds = offsets
-                start, windows, anchor, content, doc = hashing.segments(body, bounds, window, k, hashing.TABLE)
+            found = []
+            for a, b in hashing.doc_slices(offsets):
+                part, bounds = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                if by_words:
+                    values, _, _, bounds = hashing.words(part, bounds)
+                    start, windows, anchor, content, doc = hashing.segments(values, bounds, window, k)
+                else:
+                    start, windows, anchor, content, doc = hashing.segments(part, bounds, window, k, hashing.TABLE)
+                found.append((start - bounds[doc], windows, anchor, content, doc + a))
+            start, windows, anchor, content, doc = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(start):
                 continue
             did, dkey = (batch.column(c).to_numpy()[doc] for c in ("did", "dkey"))
-            rows = _settle(anchor.view(np.int64), content.view(np.int64), did, dkey, start - bounds[doc], windows, np.zeros(len(start), bool), first)
+            rows = _settle(anchor.view(np.int64), content.view(np.int64), did, dkey, start, windows, np.zeros(len(start), bool), first)
             whole = ~rows.pop()
             yield _batch(RUNS, *rows, whole)
 
