@@ -60,6 +60,7 @@ def words(body: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     n = len(body)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    edge = edge[:n]
     blank = SPACE[body]
     hashes, starts, ends = [], [], []
     at = 0
