@@ -4,11 +4,11 @@
 2. Candidates, exactly: two sets that link differ in at most D shingles, where D follows from their sizes. Cut the hash
    space into more than D ranges, and at least one range holds the same shingles in both (Arasu et al. 2006). So each set
    gives a signature for each range, and linked sets share one at least. A room is all that share a signature.
-3. First search: in each room the node of the least hash is the query, all others are its candidates; each query's
-   distinct candidates over all rooms are searched together. This links nearly all that ever link, with as many
-   pairs as there are signatures, however large a group of copies is.
-4. Second search: only rooms that still hold more than one component. Each member is searched among those of other
-   components, in blocks of BLOCK x BLOCK members; so no link is lost.
+3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
+   in one task: every member in the inverted lists of all, but for those that are already in its component.
+4. Larger clusters are searched piecewise. First, in each room the node of the least hash against all others, each query's
+   candidates over all rooms together; this links nearly all that ever link, with as many pairs as there are
+   signatures. Then only rooms that still hold several components, in blocks of BLOCK x BLOCK members. No link is lost.
 Searches build inverted lists over the candidates' shingles, merge the short ones on a heap and probe the long ones
 (t_occurrence.py). Rooms meet by signature; equal nodes and rooms of one batch of documents are combined before the shuffle.
 """
@@ -29,6 +29,8 @@ from .t_occurrence import Lists
 _U = np.uint64
 #: Members of a room that are searched at a time, and candidates that are searched together for one query.
 BLOCK = 512
+#: Shingles of a cluster that one task may search.
+CLUSTER = 8_000_000
 #: Ranges beyond D + 1, so that sets with a few empty ranges still share one that isn't empty.
 SPARE = 3
 
@@ -194,6 +196,29 @@ def _tokens(rows: pa.Table) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _search_cluster(percent: int):
+    """Groups (root): all members of a cluster; gives links that join its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _sorted_groups(batches, ["root"]):
+            node, sets = rows.column("node").to_numpy(), _tokens(rows)
+            lists, forest = Lists(sets), Forest(len(sets))
+            roots = np.arange(len(sets))
+            out: list[tuple[int, int]] = []
+            for x in range(len(sets)):
+                other = roots != roots[x]
+                if not other.any():
+                    break
+                found = [y for y in lists.search(sets[x], percent, other).tolist() if forest.join(x, y)]
+                if found:
+                    out += [(int(node[x]), int(node[y])) for y in found]
+                    roots = np.array([forest.root(y) for y in forest.up])
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
+
+    return run
+
+
 def _search_stars(percent: int):
     """Groups (u, part): u's own row and its candidates' rows; gives the links of u."""
 
@@ -254,6 +279,24 @@ def _search_rooms(percent: int):
     return run
 
 
+def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links u, v of clusters too large for one task, from their sets (node, tokens, rooms) and candidates (u, v)."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
+    owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
+    asked = dealt.select("u", "v", "part").unionByName(owns).join(sets.select(F.col("node").alias("v"), "tokens"), "v")
+    links = staged(asked.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
+
+    comps = components(links)
+    rooms = sets.select("node", F.explode("rooms").alias("room")).join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp"))
+    mixed = rooms.repartition("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
+    blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = blocks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+    rest = blocks.join(sets.select("node", "tokens"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    return links.unionByName(rest)
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that links join: two link if their sets of n-word shingles have a Jaccard similarity of percent
     / 100 or more. Words are lower-cased (A-Z) runs of bytes other than blank and tab to carriage return; a text of
@@ -276,21 +319,16 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select("did", "dkey", "text").join(one.hint("shuffle_hash"), ["did", "dkey"]).select("node", "text")
     sets = staged(texts.mapInArrow(_sets(n, percent), "node long, tokens array<long>, rooms array<long>").dropDuplicates(["node"]), "sets")
 
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
-    owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
-    asked = dealt.select("u", "v", "part").unionByName(owns).join(sets.select(F.col("node").alias("v"), "tokens"), "v")
-    links = staged(asked.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
-
-    comps = components(links)
-    rooms = sets.select("node", F.explode("rooms").alias("room")).join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = rooms.repartition("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
-    blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    blocks = blocks.select("key", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    blocks = blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    rest = blocks.join(sets.select("node", "tokens"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    clusters = staged(components(pairs).join(sets.select("node", F.size("tokens").alias("size")), "node").select("node", "root", "size"), "clusters")
+    sums = clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large"))
+    clusters = staged(clusters.join(sums, "root").select("node", "root", "large"), "clusters")
+    small = clusters.where("not large").join(sets.select("node", "tokens"), "node").repartition("root").sortWithinPartitions("root", "node")
+    links = small.mapInArrow(_search_cluster(percent), "u long, v long")
+    if clusters.where("large").limit(1).count():
+        large = clusters.where("large").select("node")
+        links = links.unionByName(_piecewise(sets.join(large, "node", "left_semi"), pairs.join(large, pairs["u"] == large["node"], "left_semi"), percent))
 
-    found = component_ids(members, staged(links.unionByName(rest), "links"))
+    found = component_ids(members, staged(links, "links"))
     sizes = signed.select("did", "dkey", "node", F.col("size").alias("n_shingles")).dropDuplicates(["did", "dkey"])
     least = members.groupBy("node").agg(F.min("did").alias("least"))
     labels = sizes.join(least, "node", "left").join(found, "node", "left").select("did", "dkey", "n_shingles", F.coalesce("component_id", "least", "did").alias("component_id"))
