@@ -22,6 +22,8 @@ from .common import NO_ID, component_ids, ordered_id, staged, table
 from .jaccard_join import _sorted_groups
 
 THRESHOLD, RECALL, SEED, BLOCK = 0.9, 0.97, 11, 1024
+#: Rows of a block that are compared at a time.
+ROWS = 128
 
 
 def plan_tables(nodes: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -83,29 +85,31 @@ def _compare(threshold: float):
             x, codes, tab = unit_rows(_matrix(rows, "x")), _matrix(rows, "codes"), rows.column("tab")[0].as_py()
             i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-            a, b = left[a], right[b]
-            keep = a < b if i == j else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            root = np.arange(n)
             by = np.argsort(node, kind="stable")
             rank = np.empty(n, np.int64)
-            rank[by] = root
-            root = rank.copy()
-            while True:
-                low = root.copy()
-                np.minimum.at(low, a, root[b])
-                np.minimum.at(low, b, low[a])
-                low = np.minimum(low, low[by[low]])
-                if (low == root).all():
-                    break
-                root = low
-            new = ~(codes[a, :tab] == codes[b, :tab]).any(axis=1) if tab else np.ones(len(a), bool)
-            links = np.bincount(a[new], weight[b[new]], n) + np.bincount(b[new], weight[a[new]], n)
-            out = np.flatnonzero((links > 0) | (root != rank))
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(links[out].astype(np.int64)), pa.array(node[by[root[out]]])], ["node", "links", "root"])
+            rank[by] = np.arange(n)
+            up, links = np.arange(n), np.zeros(n)  # a forest over ranks
+            for at in range(0, len(left), ROWS):
+                some = left[at : at + ROWS]
+                a, b = np.nonzero(x[some] @ x[right].T >= threshold)
+                a, b = some[a], right[b]
+                keep = a < b if i == j else np.ones(len(a), bool)
+                a, b = a[keep], b[keep]
+                new = np.ones(len(a), bool)
+                for t in range(tab):  # a pair counts in the first table where it meets
+                    new &= codes[a, t] != codes[b, t]
+                links += np.bincount(a[new], weight[b[new]], n) + np.bincount(b[new], weight[a[new]], n)
+                a, b = rank[a], rank[b]
+                while True:
+                    high, low = np.maximum(up[a], up[b]), np.minimum(up[a], up[b])
+                    apart = high != low
+                    if not apart.any():
+                        break
+                    np.minimum.at(up, high[apart], low[apart])
+                    while (up[up] != up).any():
+                        up = up[up]
+            out = np.flatnonzero((links > 0) | (up[rank] != rank))
+            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(links[out].astype(np.int64)), pa.array(node[by[up[rank[out]]]])], ["node", "links", "root"])
 
     return run
 
