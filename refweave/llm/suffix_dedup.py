@@ -21,10 +21,10 @@ from .suffix_array import first_windows_kept, repeated_windows
 #: Bytes of a window, and of the minimizer by which windows meet.
 WINDOW, GRAM = 200, 64
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-ADDED = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPAN)])
+ADDED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", SPAN)])
 
 
-def _cut(window: int):
+def _cut(window: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, gone, removed = [], [], [], []
@@ -32,21 +32,22 @@ def _cut(window: int):
                 body = (text.as_py() or "").encode()
                 runs = covered([(x["start"], x["windows"]) for x in spans or ()], window)
                 left = b"".join(body[a:b] for a, b in zip([0, *(b for _, b in runs)], [*(a for a, _ in runs), len(body)], strict=True)) if runs else body
-                kept.append(left)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 size.append(len(body))
                 gone.append(len(body) - len(left))
                 removed.append([{"start": a, "end": b} for a, b in runs])
-            arrays = [batch.column("row"), batch.column("text"), *(pa.array(x, type=t) for x, t in ((kept, pa.binary()), (size, pa.int64()), (gone, pa.int64()), (removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))))]
+            arrays = [batch.column("row"), batch.column("text"), *(pa.array(x, type=t) for x, t in ((kept, pa.string() if as_text else pa.binary()), (size, pa.int64()), (gone, pa.int64()), (removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "text", "kept", "n_bytes", "n_removed", "removed"])
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | None = None, keep_first: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | None = None, keep_first: bool = False, as_text: bool = False) -> DataFrame:
     """Removes each byte of the UTF-8 text that a string of `window` bytes covers which also starts anywhere else, in the
     same document or another; with keep_first, which also starts earlier (smaller doc_id, or further left).
 
-    Returns row (the columns of docs but text), text, kept (binary: cuts may part a character), n_bytes, n_removed,
+    Returns row (the columns of docs but text), text, kept (binary, since cuts may part a character; or with
+    as_text a string, without the characters that cuts part), n_bytes, n_removed,
     removed (array of start and end byte). Columns of docs may have any names; they lie in the struct row.
     Null text: empty. Null doc_id: behind all others. Rows equal in doc_id and text are one document: each comes out, and
     they don't repeat each other. Rows of one doc_id but other texts are documents of their own, in the order of a hash of
@@ -55,8 +56,8 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | Non
     gram = gram or min(GRAM, window)
     found = repeats(docs, first_windows_kept if keep_first else repeated_windows, window, gram, False, keep_first)
     rows = found.select("row", "text", "spans")
-    schema = T.StructType([rows.schema["row"], rows.schema["text"], *ADDED])
-    return rows.mapInArrow(_cut(window), schema)
+    kept = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
+    return rows.mapInArrow(_cut(window, as_text), T.StructType([rows.schema["row"], rows.schema["text"], kept, *ADDED]))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ class Lexicon:
 def density(matcher, text: str) -> tuple[float, float, int]:
     """The logarithms of the hits' weights and of those per thousand words; the number of hits."""
     folded = fold(text)
-    if matcher.kind != 3:  # an automaton without entries
+    if not len(matcher):
         return 0.0, 0.0, 0
     hits: list[tuple[int, int, float]] = []
     spared: list[tuple[int, int]] = []
@@ -114,6 +114,7 @@ def _entries(words: Iterable[str]) -> set[str]:
 def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -> Lexicon:
     """A lexicon from labelled texts. Without labels of both kinds it has no entries and scores all alike."""
     sets = [set(fold(t).split()) for t in texts]
+    # without both kinds of labels all texts score alike
     toxic = [i for i, y in enumerate(labels) if y]
     clean = [i for i, y in enumerate(labels) if not y]
     lexicon = Lexicon(exceptions=list(exceptions))
@@ -162,7 +163,7 @@ def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -
 def _learn_exceptions(lexicon: Lexicon, texts: list[str], toxic: list[int], clean: list[int]) -> None:
     """Pairs of words around an entry that several clean texts hold and no toxic one."""
     matcher = lexicon.matcher()
-    if matcher.kind != 3:
+    if not len(matcher):
         return
 
     def phrases(i: int) -> set[str]:
