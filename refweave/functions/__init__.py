@@ -1 +1 @@
-
+"""Scalar functions, all of them Column expressions that Catalyst sees through."""

@@ -1 +1 @@
-
+"""Whole jobs, composed of sources, operators and sinks."""

@@ -1 +1,28 @@
+"""Incremental indexing of pages and edges that keep arriving. The batch engine has no counterpart."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.index import backlinks, distinct_edges
+
+
+def stream_distinct(edges: DataFrame) -> DataFrame:
+    """New edges of a stream, each once over its whole life (the state holds all edges)."""
+    return edges.dropDuplicates(["target", "source"])
+
+
+def maintain_edges(edges: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Appends each batch's distinct edges under table as Parquet, one folder a batch, overwritten if the batch is run again; so
+    reading table gives the same set however often batches fail. read_index() builds the index from it."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        distinct_edges(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return edges.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_index(spark, table: str) -> DataFrame:
+    """The index over all batches so far."""
+    return backlinks(spark.read.parquet(table).select("source", "target"))
