@@ -104,12 +104,12 @@ def pack_into(sizes: list[int], shards: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 1), text_crc32, shard (0 to shards - 1), slot (from 0, without gaps in a shard).
 
-    Rows of equal text stay together; so do rows of null text, which count as size 1 and crc32 0. Sizes of shards are as
+    Rows of equal text stay together; null counts as the empty text, of size 1 and crc32 0. Sizes of shards are as
     equal as groups allow. Rows equal in all columns get slots of their own; rows without doc_id come last in their
     cell. Other columns are ignored. Empty table: empty result.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(F.col("text")).alias("g")), "rows")
+    rows = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g")), "rows")
     groups = rows.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     large = groups.where(F.col("bytes") > F.lit(total // units)).select("g", "size", "text_crc32", "n", "bytes").collect()  # at most units rows

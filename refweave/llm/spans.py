@@ -27,7 +27,7 @@ from . import hashing
 from .common import groups_of, staged, text_buffers, with_key
 
 #: Bytes of text in one index shard, unless one anchor alone has more.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Contents of an anchor beyond which its windows are dealt out singly.
 WIDE = 4096
 
@@ -166,6 +166,8 @@ def _index(find: Callable[[list[bytes], int], list[np.ndarray]], window: int, fi
             mine = order[edges[at] : edges[to]]
             at = to
             mine = mine[np.lexsort((start[mine], dkey[mine], did[mine]))]
+            same = (did[mine[1:]] == did[mine[:-1]]) & (dkey[mine[1:]] == dkey[mine[:-1]]) & (start[mine[1:]] == start[mine[:-1]])
+            mine = mine[np.concatenate(([True], ~same))]  # rows of one document, repeated
             out: list[list] = [[], [], [], []]
             for i, hits in zip(mine.tolist(), find([body[i] for i in mine], window), strict=True):
                 if len(hits) and not settled[i]:

@@ -82,24 +82,25 @@ def density(matcher, text: str) -> tuple[float, float, int]:
     folded = fold(text)
     if not len(matcher):
         return 0.0, 0.0, 0
+    if next(matcher.iter(folded), None) is None:
+        return 0.0, 0.0, 0
+    words = folded.split()
     hits: list[tuple[int, int, float]] = []
     spared: list[tuple[int, int]] = []
-    for end, (size, weight) in matcher.iter(folded):
+    for end, (size, weight) in matcher.iter(f" {' '.join(words)} "):
         if weight is None:
             spared.append((end - size + 1, end))
         else:
             hits.append((end - size + 1, end, weight))
+    if spared:
+        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
     if not hits:
         return 0.0, 0.0, 0
-    if spared:
-        flat = [(a, b) for a, b in spared]
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in flat)]
     best: dict[int, float] = {}
     for start, _, weight in hits:  # of entries that begin at one word, the heaviest
         best[start] = max(weight, best.get(start, weight))
-    words = max(1, len(folded.split()))
     total = sum(best.values())
-    return math.log1p(total), math.log1p(1000 * total / words), len(best)
+    return math.log1p(total), math.log1p(1000 * total / len(words)), len(best)
 
 
 def _entries(words: Iterable[str]) -> set[str]:
