@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,6 +44,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries now; else they stay until both sides of the driver happen to collect
+    their garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
@@ -155,8 +163,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def component_ids(members: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component_id: the smallest did that links (u, v: nodes) reach from each node of members (did, node) that has any."""
+    """node, root, component_id: a node's component, and the smallest did that links (u, v: nodes) reach from it, for each node of
+    members (did, node) that has links."""
     roots = staged(components(links), "roots")
     least = members.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(F.min("did").alias("did"))
     of = least.join(roots, "node")
-    return of.select("node", "root").join(of.groupBy("root").agg(F.min("did").alias("component_id")), "root").select("node", "component_id")
+    return of.select("node", "root").join(of.groupBy("root").agg(F.min("did").alias("component_id")), "root").select("node", "root", "component_id")

@@ -6,9 +6,10 @@
    gives a signature for each range, and linked sets share one at least. A room is all that share a signature.
 3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
    in one task: every member in the inverted lists of all, but for those that are already in its component.
-4. Larger clusters are searched piecewise. First, in each room the node of the least hash against all others, each query's
-   candidates over all rooms together; this links nearly all that ever link, with as many pairs as there are
-   signatures. Then only rooms that still hold several components, in blocks of BLOCK x BLOCK members. No link is lost.
+4. Larger clusters, which passages that many texts share may make, are cut down first: in each room, in blocks of BLOCK x
+   BLOCK members, only pairs whose overlap may still be large enough by their sketches (128 small counts and sums) keep
+   members together. What sketches can't cut down is searched piecewise: first, in each room the node of the least hash against
+   all others; then rooms that still hold several components, in blocks. Neither loses a link.
 Searches build inverted lists over the candidates' shingles, merge the short ones on a heap and probe the long ones
 (t_occurrence.py). Rooms meet by signature; equal nodes and rooms of one batch of documents are combined before the shuffle.
 """
@@ -23,14 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NO_ID, Forest, component_ids, components, groups_of, staged, table, text_buffers, with_key
+from .common import NO_ID, Forest, component_ids, components, free_shuffles, groups_of, staged, table, text_buffers, unstage, with_key
 from .t_occurrence import Lists
 
 _U = np.uint64
 #: Members of a room that are searched at a time, and candidates that are searched together for one query.
 BLOCK = 512
 #: Shingles of a cluster that one task may search.
-CLUSTER = 8_000_000
+CLUSTER = 4_000_000
+#: Parts of a sketch.
+SKETCH = 128
 #: Ranges beyond D + 1, so that sets with a few empty ranges still share one that isn't empty.
 SPARE = 3
 
@@ -154,18 +157,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
 
 
-def _sets(n: int, percent: int):
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(x) for x in values])))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))
+
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = list(shingle_sets(*text_buffers(batch.column("text")), n))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("large"), _lists(sets)], ["node", "root", "large", "tokens"])
+
+    return run
+
+
+def _rooms(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = list(shingle_sets(*text_buffers(batch.column("text")), n))
-            arrays = []
-            for lists in (sets, [bands.signatures(t) for t in sets]):
-                at = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-                arrays.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(lists).view(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *arrays], ["node", "tokens", "rooms"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([bands.signatures(t) for t in _tokens(pa.Table.from_batches([batch]))])], ["node", "rooms"])
 
     return run
 
@@ -253,6 +265,58 @@ def _mixed_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(node[take]), pa.array(comp[take])], ["key", "members", "node", "comp"])
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each of SKETCH ranges of the hash space, how many of the tokens lie there (up to 255) and 16 bits of their sum."""
+    edges = np.searchsorted(tokens, np.arange(1, SKETCH, dtype=_U) << _U(64 - SKETCH.bit_length() + 1))
+    edges = np.concatenate(([0], edges, [len(tokens)]))
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashing.mix(tokens), dtype=_U)))
+    values = hashing.mix(sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint16)
+    return np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes() + values.tobytes()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            sets = _tokens(pa.Table.from_batches([batch]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["node", "size", "sketch"])
+
+
+def may_link(sizes: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """A matrix of the pairs (left, right) that their sizes and sketches don't rule out as links."""
+    counts = np.frombuffer(b"".join(s[:SKETCH] for s in sketches), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    values = np.frombuffer(b"".join(s[SKETCH:] for s in sketches), np.uint16).reshape(-1, SKETCH)
+    most = np.zeros((len(left), len(right)), np.int64)
+    step = max(1, (1 << 16) // max(1, len(left) * len(right)))
+    full = np.zeros_like(most, bool)
+    for p in range(0, SKETCH, step):
+        a, b = counts[left, None, p : p + step], counts[None, right, p : p + step]
+        same = (a == b) & (values[left, None, p : p + step] == values[None, right, p : p + step])
+        most += (np.minimum(a, b) - ((a == b) & ~same)).sum(axis=2)  # as many, but not the same: one differs at least
+        full |= ((a == 255) | (b == 255)).any(axis=2)
+    total = sizes[left, None] + sizes[None, right]
+    return ((100 + percent) * most >= percent * total) | full
+
+
+def _tie_rooms(percent: int):
+    """Groups (key, i, j): the members of blocks i and j of a room; ties those together that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _sorted_groups(batches, ["key", "i", "j"]):
+            node, block, sizes, i, j = (rows.column(c).to_numpy() for c in ("node", "block", "size", "i", "j"))
+            sketches = rows.column("sketch").to_pylist()
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            forest, out = Forest(len(node)), []
+            for at in range(0, len(left), 64):
+                some = left[at : at + 64]
+                for x, y in zip(*np.nonzero(may_link(sizes, sketches, some, right, percent)), strict=True):
+                    if forest.join(int(some[x]), int(right[y])):
+                        out.append((int(node[some[x]]), int(node[right[y]])))
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
+
+    return run
+
+
 def _search_rooms(percent: int):
     """Groups (key, i, j): the members of blocks i and j of a room; gives links that join their components."""
 
@@ -279,8 +343,26 @@ def _search_rooms(percent: int):
     return run
 
 
+def _blocks(rooms: DataFrame) -> DataFrame:
+    """key, node, comp, block, i, j: the members of rooms (room, node, comp) of several comps, each set of members once, dealt out
+    so that any two members of a room meet in one group (key, i, j)."""
+    mixed = rooms.repartition("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
+    blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = blocks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+
+
+def _cut_down(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root: clusters of sets (node, tokens) that only pairs that may link tie together."""
+    rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
+    groups = _blocks(rooms.select("room", "node", F.col("node").alias("comp")))
+    sketches = sets.mapInArrow(_sketched, "node long, size long, sketch binary")
+    groups = groups.join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return components(groups.mapInArrow(_tie_rooms(percent), "u long, v long"))
+
+
 def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links u, v of clusters too large for one task, from their sets (node, tokens, rooms) and candidates (u, v)."""
+    """Links u, v of clusters too large for one task, from their sets (node, tokens) and candidates (u, v)."""
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
     owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
@@ -288,22 +370,30 @@ def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     links = staged(asked.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
 
     comps = components(links)
-    rooms = sets.select("node", F.explode("rooms").alias("room")).join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp"))
-    mixed = rooms.repartition("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
-    blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    blocks = blocks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
-    rest = blocks.join(sets.select("node", "tokens"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
+    blocks = _blocks(rooms.join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp")))
+    rest = blocks.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
     return links.unionByName(rest)
 
 
+def _searched(sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v from sets (root, node, tokens), each cluster in one task."""
+    return sets.select("root", "node", "tokens").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_search_cluster(percent), "u long, v long")
+
+
+def _with_size(clusters: DataFrame) -> DataFrame:
+    """clusters (node, root, size, ...) with large: whether the whole is too large for one task."""
+    return clusters.join(clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large")), "root")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that links join: two link if their sets of n-word shingles have a Jaccard similarity of percent
     / 100 or more. Words are lower-cased (A-Z) runs of bytes other than blank and tab to carriage return; a text of
     fewer than n words has one shingle, all its words.
 
     Returns did (doc_id; missing ids as the largest long), dkey (hash of the text), text, row (the other columns of
-    docs, under any names), n_shingles, component_id (smallest did that links reach, null where that document has no id).
+    docs, under any names), n_shingles, component_id (smallest did that links reach, null where that document has no id), group
+    (a number of the component; null for documents without shingles).
     Null and empty texts, and texts without words: n_shingles 0, linked with nothing. Rows of one doc_id are documents of
     their own. Empty table: empty result.
     """
@@ -313,27 +403,45 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").mapInArrow(_stars, "u long, v long")
     nearby = linkable.select(F.explode("near").alias("u"), F.col("node").alias("v"))
     pairs = staged(stars.unionByName(nearby).distinct(), "pairs")
-    members = linkable.select("did", "dkey", "node")
-    held = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    one = members.join(held, "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "dkey")).alias("x")).select("node", "x.did", "x.dkey")
-    texts = docs.select("did", "dkey", "text").join(one.hint("shuffle_hash"), ["did", "dkey"]).select("node", "text")
-    sets = staged(texts.mapInArrow(_sets(n, percent), "node long, tokens array<long>, rooms array<long>").dropDuplicates(["node"]), "sets")
-
-    clusters = staged(components(pairs).join(sets.select("node", F.size("tokens").alias("size")), "node").select("node", "root", "size"), "clusters")
-    sums = clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large"))
-    clusters = staged(clusters.join(sums, "root").select("node", "root", "large"), "clusters")
-    small = clusters.where("not large").join(sets.select("node", "tokens"), "node").repartition("root").sortWithinPartitions("root", "node")
-    links = small.mapInArrow(_search_cluster(percent), "u long, v long")
-    if clusters.where("large").limit(1).count():
-        large = clusters.where("large").select("node")
-        links = links.unionByName(_piecewise(sets.join(large, "node", "left_semi"), pairs.join(large, pairs["u"] == large["node"], "left_semi"), percent))
-
-    found = component_ids(members, staged(links, "links"))
+    wide, signed = signed, staged(signed.select("did", "dkey", "node", "size"), "nodes")
+    unstage(wide)
+    free_shuffles(docs.sparkSession)
+
+    members = signed.where("size > 0").select("did", "dkey", "node")
+    clusters = components(pairs)
+    one = signed.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "dkey", "size")).alias("x"))
+    one = staged(_with_size(one.join(clusters, "node").select("node", "root", "x.did", "x.dkey", "x.size")), "clusters")
+    texts = docs.select("did", "dkey", "text").join(one.drop("size").hint("shuffle_hash"), ["did", "dkey"]).select("node", "root", "large", "text")
+    sets = texts.mapInArrow(_sets(n), "node long, root long, large boolean, tokens array<long>")
+    links = staged(_searched(sets.where("not large"), percent), "links")
+    free_shuffles(docs.sparkSession)
+    if one.where("large").limit(1).count():
+        sets = staged(sets.where("large").select("node", "tokens").dropDuplicates(["node"]), "sets")
+        finer = staged(_with_size(_cut_down(sets, percent).join(one.select("node", "size"), "node")), "finer")
+        links = staged(links.unionByName(_searched(finer.where("not large").join(sets, "node"), percent)), "links")
+        free_shuffles(docs.sparkSession)
+        if finer.where("large").limit(1).count():
+            sets = staged(sets.join(finer.where("large").select("node"), "node", "left_semi"), "sets")
+            links = links.unionByName(_piecewise(sets, pairs.join(sets.select(F.col("node").alias("u")), "u", "left_semi").join(sets.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), percent))
+
+    found = component_ids(members, links)
     sizes = signed.select("did", "dkey", "node", F.col("size").alias("n_shingles")).dropDuplicates(["did", "dkey"])
     least = members.groupBy("node").agg(F.min("did").alias("least"))
-    labels = sizes.join(least, "node", "left").join(found, "node", "left").select("did", "dkey", "n_shingles", F.coalesce("component_id", "least", "did").alias("component_id"))
-    labels = labels.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-    return docs.join(labels, ["did", "dkey"])
+    labels = sizes.join(least, "node", "left").join(found, "node", "left")
+    component = F.coalesce("component_id", "least", "did")
+    labels = labels.select("did", "dkey", "n_shingles", F.when(component < NO_ID, component).alias("component_id"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("group"))
+    return docs.join(labels.hint("shuffle_hash"), ["did", "dkey"])
+
+
+def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near copies: of each group that jaccard_groups finds, the document of the
+    smallest doc_id stays, once. Documents without shingles stay; of those equal in doc_id and text, one."""
+    columns = docs.columns
+    found = jaccard_groups(docs, n, percent)
+    firsts = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("did", "dkey")).alias("x")).select("group", "x.did", "x.dkey")
+    keys = staged(firsts.unionByName(found.where(F.col("group").isNull()).select("group", "did", "dkey").distinct()).select("did", "dkey"), "firsts")
+    once = with_key(docs).join(keys.hint("shuffle_hash"), ["did", "dkey"]).dropDuplicates(["did", "dkey"])
+    return once.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import hashing
+
 _U = np.uint64
 
 
@@ -34,13 +36,6 @@ class Keys:
     def at(self, places: np.ndarray) -> np.ndarray:
         return self.packed[np.minimum(places, len(self.packed) - 1)]
 
-    def equal_symbols(self, differ: np.ndarray) -> np.ndarray:
-        """Leading symbols that are equal, from the exclusive or (not 0) of two keys."""
-        out = np.zeros(len(differ), np.int64)
-        for j in range(1, self.width):
-            out += differ < _U(1 << self.bits * (self.width - j))
-        return out
-
 
 def is_smaller(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one that starts behind it."""
@@ -50,30 +45,32 @@ def is_smaller(text: np.ndarray) -> np.ndarray:
     return text[run_end] < ahead[run_end]
 
 
-def _tied(at: np.ndarray, key: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The places whose keys (and groups) are not told apart yet, and the number of each one's new group."""
+def _tied(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose keys are not told apart yet, and the number of each one's group."""
     new = np.ones(len(at), bool)
     new[1:] = key[1:] != key[:-1]
-    if group is not None:
-        new[1:] |= group[1:] != group[:-1]
     tied = ~new
     tied[:-1] |= ~new[1:]
-    return at[tied], np.cumsum(new)[tied]
+    group = np.cumsum(new[tied]) - 1
+    return at[tied], group
 
 
 def sort_directly(keys: Keys, places: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes at places in order, by their next symbols, then the next ones where those are equal, and so on down to depth."""
+    """Suffixes at places in order, by their next symbols, then the next ones where those are equal, and so on down to depth.
+    One key holds the group of suffixes that are equal so far and as many symbols as fit beside it."""
     first = keys.at(places)
-    by = np.argsort(first, kind="stable")
+    by = np.argsort(first)
     order = places[by]
     at, group = _tied(np.arange(len(order)), first[by])
     done = keys.width
     while len(at) and (depth is None or done < depth):
-        key = keys.at(order[at] + done)
-        by = np.lexsort((key, group))
+        symbols = max(1, (63 - int(group[-1]).bit_length()) // keys.bits)
+        shift = _U(keys.bits * symbols)
+        key = (group.astype(_U) << shift) | (keys.at(order[at] + done) >> _U(keys.bits * (keys.width - symbols)))
+        by = np.argsort(key)
         order[at] = order[at[by]]
-        at, group = _tied(at, key[by], group)
-        done += keys.width
+        at, group = _tied(at, key[by])
+        done += symbols
     return order
 
 
@@ -124,22 +121,32 @@ def suffix_array(text: np.ndarray, keys: Keys | None = None, depth: int | None =
     return np.concatenate(out)
 
 
-def common_prefixes(keys: Keys, order: np.ndarray, left: np.ndarray, depth: int | None = None) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, left: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Common prefix of each suffix in order and the one before it, within one text; left: symbols up to each text's end.
-    With a depth, they may be cut there."""
+    With a depth, those that don't reach it may be given too small.
+
+    Hashes of 1, 2, 4, ... symbols at each place tell in as many steps how far two suffixes agree.
+    """
     ends = np.minimum(left[order], np.append(0, left[order[:-1]]))
-    most = ends if depth is None else np.minimum(ends, depth)
     out = np.zeros(len(order), np.int64)
-    live, done = np.flatnonzero(most > 0), 0
-    while len(live):
-        differ = keys.at(order[live - 1] + done) ^ keys.at(order[live] + done)
-        same = differ == 0
-        out[live[~same]] = done + keys.equal_symbols(differ[~same])
-        live = live[same]
-        done += keys.width
-        out[live] = done
-        live = live[most[live] > done]
-    return np.minimum(out, ends)
+    most = int(ends.max(initial=0)) if depth is None else depth
+    live = np.flatnonzero(ends > 0) if depth is None else np.flatnonzero(ends >= depth)
+    if not most or not len(live):
+        return out
+    hashes = [hashing.TABLE[text & 255] ^ text.astype(_U)]
+    while 2 << len(hashes) - 1 <= most:
+        width, last = 1 << len(hashes) - 1, hashes[-1]
+        double = last.copy()
+        double[:-width] += last[width:] * _U(pow(hashing.BASE, width, 1 << 64))
+        hashes.append(double)
+    for step in reversed(range(len(hashes))):
+        width = 1 << step
+        a, b = order[live - 1] + out[live], order[live] + out[live]
+        same = (out[live] + width <= ends[live]) & (hashes[step][np.minimum(a, len(text) - 1)] == hashes[step][np.minimum(b, len(text) - 1)])
+        out[live[same]] += width
+        if depth is not None:
+            live = live[out[live] + width > depth]  # with all the smaller steps to come
+    return out
 
 
 def _shared(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +156,7 @@ def _shared(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     order = suffix_array(text, keys, window)
     ends = np.flatnonzero(text == 1)
     left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
-    return order, common_prefixes(keys, order, left, window) >= window, first
+    return order, common_prefixes(text, order, left, window) >= window, first
 
 
 def _by_text(places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
