@@ -66,12 +66,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH hexed AS (
-  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+WITH bodies AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), starts AS (
-  SELECT doc_id, unnest(range(0, n - 199)) AS s, x FROM hexed WHERE n >= 200
+  SELECT doc_id, unnest(range(0, n - 199)) AS s, x FROM bodies WHERE n >= 200
 ), windows AS (
-  SELECT doc_id, s, md5_number(x[2 * s + 1:2 * s + 400]) AS h FROM starts
+  SELECT doc_id, s, hash(array_slice(x, s + 1, s + 200)) AS h FROM starts
 ), often AS (
   SELECT h FROM windows GROUP BY h HAVING count(*) > 1
 ), hits AS (
@@ -85,11 +85,11 @@ WITH hexed AS (
 ), pieces AS (
   SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM spans
 ), cut AS (
-  SELECT p.doc_id, string_agg(h.x[2 * p.was + 1:2 * p.a], '' ORDER BY p.a) AS front, max(p.b) AS last, sum(p.b - p.a) AS gone, count(*) AS n
-  FROM pieces p JOIN hexed h ON p.doc_id = h.doc_id GROUP BY p.doc_id
+  SELECT p.doc_id, string_agg(hex(array_slice(d.x, p.was + 1, p.a)), '' ORDER BY p.a) AS front, max(p.b) AS last, sum(p.b - p.a) AS gone, count(*) AS n
+  FROM pieces p JOIN bodies d ON p.doc_id = d.doc_id GROUP BY p.doc_id
 )
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(c.gone, 0) AS BIGINT) AS n_removed,
   CAST(coalesce(c.n, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN d.x ELSE c.front || d.x[2 * c.last + 1:] END)) AS kept_sha256
-FROM hexed d LEFT JOIN cut c ON d.doc_id = c.doc_id
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN hex(d.x) ELSE c.front || hex(array_slice(d.x, c.last + 1, d.n)) END)) AS kept_sha256
+FROM bodies d LEFT JOIN cut c ON d.doc_id = c.doc_id
 """

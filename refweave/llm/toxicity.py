@@ -36,7 +36,7 @@ HOMOGLYPHS = {
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
 }
 # Digits and signs and the letters they stand for.
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
 _homoglyph = re.compile(f"[{''.join(HOMOGLYPHS)}{chr(0xFF41)}-{chr(0xFF5A)}‐-⁯​-‏]")
 _fold = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(i): " " for i in range(0x2010, 0x2070)} | {chr(i): "" for i in range(0x200B, 0x2010)})
@@ -69,6 +69,8 @@ class Lexicon:
         found = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
             found.add_word(entry, (len(entry), weight))
+            if (other := entry.replace("l", "i")) not in self.weights:  # a 1 may stand for either
+                found.add_word(other, (len(entry), weight))
         for phrase in self.exceptions:
             phrase = " " + " ".join(fold(phrase).split()) + " "
             found.add_word(phrase, (len(phrase), None))
