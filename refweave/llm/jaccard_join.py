@@ -7,8 +7,8 @@
 3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
    in one task: every member in the inverted lists of all, but for those that are already in its component.
 4. Larger clusters, which passages that many texts share may make, are cut down first: in each room, in blocks of BLOCK x
-   BLOCK members, only pairs whose overlap may still be large enough by their sketches (128 small counts and sums) keep
-   members together. What sketches can't cut down is searched piecewise: first, in each room the node of the least hash against
+   BLOCK members, only pairs whose overlap may still be large enough by their sketches (a count and a short sum for every few
+   shingles) keep members together. What sketches can't cut down is searched piecewise: first, in each room the node of the least hash against
    all others; then rooms that still hold several components, in blocks. Neither loses a link.
 Searches build inverted lists over the candidates' shingles, merge the short ones on a heap and probe the long ones
 (t_occurrence.py). Rooms meet by signature; equal nodes and rooms of one batch of documents are combined before the shuffle.
@@ -32,8 +32,8 @@ _U = np.uint64
 BLOCK = 512
 #: Shingles of a cluster that one task may search.
 CLUSTER = 4_000_000
-#: Parts of a sketch.
-SKETCH = 128
+#: Shingles for each part of a sketch, at least; a power of two of parts, up to PARTS.
+SKETCH, PARTS = 4, 1 << 15
 #: Ranges beyond D + 1, so that sets with a few empty ranges still share one that isn't empty.
 SPARE = 3
 
@@ -266,11 +266,13 @@ def _mixed_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """For each of SKETCH ranges of the hash space, how many of the tokens lie there (up to 255) and 16 bits of their sum."""
-    edges = np.searchsorted(tokens, np.arange(1, SKETCH, dtype=_U) << _U(64 - SKETCH.bit_length() + 1))
+    """For each of a power of two of ranges of the hash space, how many of the tokens lie there (up to 255), then 16 bits of their
+    sum; both add up when ranges are joined."""
+    parts = min(PARTS, 1 << max(3, (len(tokens) // SKETCH).bit_length()))
+    edges = np.searchsorted(tokens, np.arange(1, parts, dtype=_U) << _U(64 - parts.bit_length() + 1))
     edges = np.concatenate(([0], edges, [len(tokens)]))
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashing.mix(tokens), dtype=_U)))
-    values = hashing.mix(sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint16)
+    values = (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint16)
     return np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes() + values.tobytes()
 
 
@@ -281,20 +283,33 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["node", "size", "sketch"])
 
 
-def may_link(sizes: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+def _joined(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and values of all sketches, at the fewest parts that one of them has. Counts over 255 stand for any."""
+    parts = min(len(s) for s in sketches) // 3
+    counts, values = [], []
+    for s in sketches:
+        n = len(s) // 3
+        count, value = np.frombuffer(s, np.uint8, n).astype(np.int16), np.frombuffer(s, np.uint16, n, n)
+        unknown = count == 255
+        if n > parts:
+            count, value, unknown = (x.reshape(parts, -1) for x in (count, value, unknown))
+            count, value, unknown = count.sum(axis=1, dtype=np.int16), value.sum(axis=1, dtype=np.uint16), unknown.any(axis=1)
+        counts.append(np.where(unknown | (count > 255), 256, count))
+        values.append(value)
+    return np.array(counts, np.int16), np.array(values, np.uint16)
+
+
+def may_link(sizes: np.ndarray, counts: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """A matrix of the pairs (left, right) that their sizes and sketches don't rule out as links."""
-    counts = np.frombuffer(b"".join(s[:SKETCH] for s in sketches), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-    values = np.frombuffer(b"".join(s[SKETCH:] for s in sketches), np.uint16).reshape(-1, SKETCH)
     most = np.zeros((len(left), len(right)), np.int64)
-    step = max(1, (1 << 16) // max(1, len(left) * len(right)))
     full = np.zeros_like(most, bool)
-    for p in range(0, SKETCH, step):
+    step = max(1, (1 << 16) // max(1, len(left) * len(right)))
+    for p in range(0, counts.shape[1], step):
         a, b = counts[left, None, p : p + step], counts[None, right, p : p + step]
-        same = (a == b) & (values[left, None, p : p + step] == values[None, right, p : p + step])
-        most += (np.minimum(a, b) - ((a == b) & ~same)).sum(axis=2)  # as many, but not the same: one differs at least
-        full |= ((a == 255) | (b == 255)).any(axis=2)
-    total = sizes[left, None] + sizes[None, right]
-    return ((100 + percent) * most >= percent * total) | full
+        other = values[left, None, p : p + step] != values[None, right, p : p + step]
+        most += (np.minimum(a, b) - ((a == b) & other)).sum(axis=2)  # as many, but not the same: one differs at least
+        full |= (np.maximum(a, b) == 256).any(axis=2)
+    return ((100 + percent) * most >= percent * (sizes[left, None] + sizes[None, right])) | full
 
 
 def _tie_rooms(percent: int):
@@ -303,12 +318,12 @@ def _tie_rooms(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _sorted_groups(batches, ["key", "i", "j"]):
             node, block, sizes, i, j = (rows.column(c).to_numpy() for c in ("node", "block", "size", "i", "j"))
-            sketches = rows.column("sketch").to_pylist()
+            counts, values = _joined(rows.column("sketch").to_pylist())
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             forest, out = Forest(len(node)), []
             for at in range(0, len(left), 64):
                 some = left[at : at + 64]
-                for x, y in zip(*np.nonzero(may_link(sizes, sketches, some, right, percent)), strict=True):
+                for x, y in zip(*np.nonzero(may_link(sizes, counts, values, some, right, percent)), strict=True):
                     if forest.join(int(some[x]), int(right[y])):
                         out.append((int(node[some[x]]), int(node[right[y]])))
             pairs = np.array(out, np.int64).reshape(-1, 2)
@@ -343,6 +358,12 @@ def _search_rooms(percent: int):
     return run
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a group of keys together, in order, over all partitions: few bytes may mean much work here."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
 def _blocks(rooms: DataFrame) -> DataFrame:
     """key, node, comp, block, i, j: the members of rooms (room, node, comp) of several comps, each set of members once, dealt out
     so that any two members of a room meet in one group (key, i, j)."""
@@ -357,7 +378,7 @@ def _cut_down(sets: DataFrame, percent: int) -> DataFrame:
     rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
     groups = _blocks(rooms.select("room", "node", F.col("node").alias("comp")))
     sketches = sets.mapInArrow(_sketched, "node long, size long, sketch binary")
-    groups = groups.join(sketches, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    groups = _dealt(groups.join(sketches, "node"), "key", "i", "j")
     return components(groups.mapInArrow(_tie_rooms(percent), "u long, v long"))
 
 
@@ -367,18 +388,18 @@ def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
     owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     asked = dealt.select("u", "v", "part").unionByName(owns).join(sets.select(F.col("node").alias("v"), "tokens"), "v")
-    links = staged(asked.repartition("u", "part").sortWithinPartitions("u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
+    links = staged(_dealt(asked, "u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
 
     comps = components(links)
     rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
     blocks = _blocks(rooms.join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp")))
-    rest = blocks.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    rest = _dealt(blocks.join(sets, "node"), "key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
     return links.unionByName(rest)
 
 
 def _searched(sets: DataFrame, percent: int) -> DataFrame:
     """Links u, v from sets (root, node, tokens), each cluster in one task."""
-    return sets.select("root", "node", "tokens").repartition("root").sortWithinPartitions("root", "node").mapInArrow(_search_cluster(percent), "u long, v long")
+    return _dealt(sets.select("root", "node", "tokens"), "root").mapInArrow(_search_cluster(percent), "u long, v long")
 
 
 def _with_size(clusters: DataFrame) -> DataFrame:

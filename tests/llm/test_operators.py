@@ -148,7 +148,7 @@ def test_candidates_are_complete_on_random_sets():
             if 100 * both >= percent * union and len(b) and not np.array_equal(a, b):
                 assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
                 sizes = np.array([len(a), len(b)])
-                assert jaccard_join.may_link(sizes, [jaccard_join.sketch(a), jaccard_join.sketch(b)], np.array([0]), np.array([1]), percent).all()
+                assert jaccard_join.may_link(sizes, *jaccard_join._joined([jaccard_join.sketch(a), jaccard_join.sketch(b)]), np.array([0]), np.array([1]), percent).all()
 
 
 def test_sharding(docs):
