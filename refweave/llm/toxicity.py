@@ -114,9 +114,26 @@ def _entries(words: Iterable[str]) -> set[str]:
     return out
 
 
+def _common(sets: list[set[str]], least: int) -> Counter[str]:
+    """The entries that at least so many sets of words hold, and how many. A longer beginning is only counted where the
+    shorter one is common, so few are ever held."""
+    out: Counter[str] = Counter()
+    able: set[str] | None = None
+    for n in range(SHORTEST, LONGEST + 1):
+        counts: Counter[str] = Counter()
+        for words in sets:
+            counts.update({" " + w[:n] for w in words if len(w) >= n and (able is None or " " + w[: n - 1] in able)})
+        able = {e for e, k in counts.items() if k >= least}
+        out.update({e: counts[e] for e in able})
+    whole: Counter[str] = Counter()
+    for words in sets:
+        whole.update(w for w in words if len(w) < SHORTEST or " " + w[:SHORTEST] in out)
+    out.update({f" {w} ": k for w, k in whole.items() if k >= least})
+    return out
+
+
 def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -> Lexicon:
     """A lexicon from labelled texts. Without labels of both kinds it has no entries and scores all alike."""
-    sets = [set(fold(t).split()) for t in texts]
     # without both kinds of labels all texts score alike
     toxic = [i for i, y in enumerate(labels) if y]
     clean = [i for i, y in enumerate(labels) if not y]
@@ -125,16 +142,17 @@ def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -
     if not toxic or not clean:
         return lexicon
     least = max(NEW, math.ceil(SHARE * len(toxic)))
-    in_toxic = Counter(e for i in toxic for e in _entries(sets[i]))
-    able = {e for e, n in in_toxic.items() if n >= least}
+    sets = [set(fold(texts[i]).split()) for i in toxic]
+    in_toxic = _common(sets, least)
+    able = set(in_toxic)
     in_clean: Counter[str] = Counter()
     for i in clean:
-        in_clean.update(able & _entries(sets[i]))
+        in_clean.update(able & _entries(set(fold(texts[i]).split())))
     odds = lambda e: math.log((in_toxic[e] + 0.5) / (len(toxic) + 1)) - math.log((in_clean[e] + 0.5) / (len(clean) + 1))
     able = {e for e in able if odds(e) >= ODDS}
     holders: dict[str, list[int]] = {e: [] for e in able}
-    for i in toxic:
-        for e in able & _entries(sets[i]):
+    for i, held in zip(toxic, sets, strict=True):
+        for e in able & _entries(held):
             holders[e].append(i)
     share = dict.fromkeys(toxic, 1.0)
     chosen: list[str] = []
