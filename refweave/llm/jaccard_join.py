@@ -4,6 +4,9 @@
 2. Candidates, exactly: two sets that link differ in at most D shingles, where D follows from their sizes. Cut the hash
    space into more than D ranges, and at least one range holds the same shingles in both (Arasu et al. 2006). So each set
    gives a signature for each range, and linked sets share one at least. A room is all that share a signature.
+   There are SPARE more ranges than that takes, so a few may go: those that are empty, and those that hold nothing but
+   common shingles, by which a passage would tie all its texts together. Which shingles are common comes from a bounded
+   sample; whatever it holds, a range goes only where enough others are sure to be left, so no link depends on it.
 3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
    in one task: every member in the inverted lists of all, but for those that are already in its component.
 4. Larger clusters, which passages that many texts share may make, are cut down first: in each room, in blocks of BLOCK x
@@ -34,8 +37,12 @@ BLOCK = 512
 CLUSTER = 4_000_000
 #: Shingles for each part of a sketch, at least; a power of two of parts, up to PARTS.
 SKETCH, PARTS = 4, 1 << 15
-#: Ranges beyond D + 1, so that sets with a few empty ranges still share one that isn't empty.
-SPARE = 3
+#: Bytes of text whose signatures are made at a time.
+SLICE = 1 << 23
+#: Ranges beyond D + 1, so that sets of which a few ranges are empty or common still share another one.
+SPARE = 6
+#: Texts of the sample, of the least hashes, from which shingles that several of them hold count as common.
+SAMPLE = 8_000
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -71,11 +78,17 @@ class Bands:
         high = self.high[band]
         return (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """A hash for each range of the hash space in which this set and a set that it links with may agree."""
+    def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """A hash for each range of the hash space in which this set and a set that it links with may agree; common: sorted
+        shingles, of which alone a range shouldn't consist."""
         size = len(tokens)
         if not size:
             return np.zeros(0, _U)
+        plain = np.zeros(size + 1, np.int64)
+        if len(common):
+            np.cumsum(common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens, out=plain[1:])
+        else:
+            plain = np.arange(size + 1)
         own = self.of(size)
         sums = np.zeros(size + 1, _U)
         np.cumsum(hashing.mix(tokens), out=sums[1:])
@@ -89,12 +102,11 @@ class Bands:
             parts = differ + 1 + SPARE
             edges = np.searchsorted(tokens, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U))
             edges = np.concatenate(([0], edges, [size]))
-            full = edges[1:] > edges[:-1]
             value = sums[edges[1:]] - sums[edges[:-1]]
-            if parts - int(full.sum()) < parts - differ:  # enough ranges that aren't empty are sure to agree
-                value, place = value[full], np.flatnonzero(full)
-            else:
-                place = np.arange(parts)
+            full, own_words = edges[1:] > edges[:-1], plain[edges[1:]] > plain[edges[:-1]]
+            agree = parts - differ  # so many ranges are sure to agree
+            keep = own_words if parts - int(own_words.sum()) < agree else full if parts - int(full.sum()) < agree else np.ones(parts, bool)
+            value, place = value[keep], np.flatnonzero(keep)
             out.append(hashing.mix(value + hashing.mix(place.astype(_U) + _U(band << 32))))
         return np.concatenate(out) if out else np.zeros(0, _U)
 
@@ -103,20 +115,45 @@ def node_of(tokens: np.ndarray) -> np.ndarray:
     return hashing.mix(hashing.mix(tokens ^ _U(0xD6E8FEB86659FD93)).sum(dtype=_U, keepdims=True) + _U(len(tokens)))
 
 
-def _sign(n: int, percent: int):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes of text."""
+    for batch in batches:
+        if batch.num_rows:
+            for a, b in hashing.doc_slices(text_buffers(batch.column("text"))[1], SLICE):
+                yield batch.slice(a, b - a)
+
+
+def _sampled(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sets = list(shingle_sets(*text_buffers(batch.column("text")), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, n: int):
+    """A broadcast of the sorted shingles that several distinct texts of a sample of about SAMPLE of docs (did, dkey, text) hold. Its size
+    is bounded by the sample's."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("dkey", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["dkey"]).select("text")
+    found = sample.mapInArrow(_sampled(n), "token long").groupBy("token").count().where("count > 1").select("token").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(np.sort(found["token"].to_numpy().view(_U)) if found.num_rows else np.zeros(0, _U))
+
+
+def _sign(n: int, percent: int, common):
     """did, dkey, node, size of each document; signatures and first candidates where the batch has not had the node or room yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             sets = list(shingle_sets(*text_buffers(batch.column("text")), n))
             nodes = np.concatenate([node_of(t) for t in sets]).view(np.int64)
             sizes = np.array([len(t) for t in sets], np.int64)
             first = np.zeros(len(sets), bool)
             first[np.unique(nodes, return_index=True)[1]] = True
-            signed = [bands.signatures(t) if f else t[:0] for t, f in zip(sets, first, strict=True)]
+            signed = [bands.signatures(t, common.value) if f else t[:0] for t, f in zip(sets, first, strict=True)]
             del sets
             owner = np.repeat(np.arange(len(signed)), [len(x) for x in signed])
             rooms = np.concatenate(signed).view(np.int64)
@@ -172,12 +209,12 @@ def _sets(n: int):
     return run
 
 
-def _rooms(percent: int):
+def _rooms(percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([bands.signatures(t) for t in _tokens(pa.Table.from_batches([batch]))])], ["node", "rooms"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([bands.signatures(t, common.value) for t in _tokens(pa.Table.from_batches([batch]))])], ["node", "rooms"])
 
     return run
 
@@ -266,13 +303,13 @@ def _mixed_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """For each of a power of two of ranges of the hash space, how many of the tokens lie there (up to 255), then 16 bits of their
+    """For each of a power of two of ranges of the hash space, how many of the tokens lie there (up to 255), then 8 bits of their
     sum; both add up when ranges are joined."""
     parts = min(PARTS, 1 << max(3, (len(tokens) // SKETCH).bit_length()))
     edges = np.searchsorted(tokens, np.arange(1, parts, dtype=_U) << _U(64 - parts.bit_length() + 1))
     edges = np.concatenate(([0], edges, [len(tokens)]))
     sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashing.mix(tokens), dtype=_U)))
-    values = (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint16)
+    values = (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint8)
     return np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes() + values.tobytes()
 
 
@@ -285,18 +322,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts and values of all sketches, at the fewest parts that one of them has. Counts over 255 stand for any."""
-    parts = min(len(s) for s in sketches) // 3
+    parts = min(len(s) for s in sketches) // 2
     counts, values = [], []
     for s in sketches:
-        n = len(s) // 3
-        count, value = np.frombuffer(s, np.uint8, n).astype(np.int16), np.frombuffer(s, np.uint16, n, n)
+        n = len(s) // 2
+        count, value = np.frombuffer(s, np.uint8, n).astype(np.int16), np.frombuffer(s, np.uint8, n, n)
         unknown = count == 255
         if n > parts:
             count, value, unknown = (x.reshape(parts, -1) for x in (count, value, unknown))
-            count, value, unknown = count.sum(axis=1, dtype=np.int16), value.sum(axis=1, dtype=np.uint16), unknown.any(axis=1)
+            count, value, unknown = count.sum(axis=1, dtype=np.int16), value.sum(axis=1, dtype=np.uint8), unknown.any(axis=1)
         counts.append(np.where(unknown | (count > 255), 256, count))
         values.append(value)
-    return np.array(counts, np.int16), np.array(values, np.uint16)
+    return np.array(counts, np.int16), np.array(values, np.uint8)
 
 
 def may_link(sizes: np.ndarray, counts: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -373,16 +410,17 @@ def _blocks(rooms: DataFrame) -> DataFrame:
     return blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
 
 
-def _cut_down(sets: DataFrame, percent: int) -> DataFrame:
+def _cut_down(sets: DataFrame, percent: int, common) -> DataFrame:
     """node, root: clusters of sets (node, tokens) that only pairs that may link tie together."""
-    rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
-    groups = _blocks(rooms.select("room", "node", F.col("node").alias("comp")))
+    rooms = sets.mapInArrow(_rooms(percent, common), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
+    groups = staged(_blocks(rooms.select("room", "node", F.col("node").alias("comp"))).drop("comp"), "blocks")
+    free_shuffles(sets.sparkSession)
     sketches = sets.mapInArrow(_sketched, "node long, size long, sketch binary")
     groups = _dealt(groups.join(sketches, "node"), "key", "i", "j")
     return components(groups.mapInArrow(_tie_rooms(percent), "u long, v long"))
 
 
-def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int, common) -> DataFrame:
     """Links u, v of clusters too large for one task, from their sets (node, tokens) and candidates (u, v)."""
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
@@ -391,7 +429,7 @@ def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     links = staged(_dealt(asked, "u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
 
     comps = components(links)
-    rooms = sets.mapInArrow(_rooms(percent), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
+    rooms = sets.mapInArrow(_rooms(percent, common), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
     blocks = _blocks(rooms.join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp")))
     rest = _dealt(blocks.join(sets, "node"), "key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
     return links.unionByName(rest)
@@ -419,7 +457,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     their own. Empty table: empty result.
     """
     docs = with_key(docs)
-    signed = staged(docs.mapInArrow(_sign(n, percent), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
+    common = common_shingles(docs, n)
+    signed = staged(docs.mapInArrow(_sign(n, percent, common), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
     linkable = signed.where("size > 0")
     stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").mapInArrow(_stars, "u long, v long")
     nearby = linkable.select(F.explode("near").alias("u"), F.col("node").alias("v"))
@@ -437,13 +476,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = staged(_searched(sets.where("not large"), percent), "links")
     free_shuffles(docs.sparkSession)
     if one.where("large").limit(1).count():
-        sets = staged(sets.where("large").select("node", "tokens").dropDuplicates(["node"]), "sets")
-        finer = staged(_with_size(_cut_down(sets, percent).join(one.select("node", "size"), "node")), "finer")
+        sets = staged(sets.where("large").select("node", "tokens"), "sets")
+        free_shuffles(docs.sparkSession)
+        finer = staged(_with_size(_cut_down(sets, percent, common).join(one.select("node", "size"), "node")), "finer")
         links = staged(links.unionByName(_searched(finer.where("not large").join(sets, "node"), percent)), "links")
         free_shuffles(docs.sparkSession)
         if finer.where("large").limit(1).count():
             sets = staged(sets.join(finer.where("large").select("node"), "node", "left_semi"), "sets")
-            links = links.unionByName(_piecewise(sets, pairs.join(sets.select(F.col("node").alias("u")), "u", "left_semi").join(sets.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), percent))
+            links = links.unionByName(_piecewise(sets, pairs.join(sets.select(F.col("node").alias("u")), "u", "left_semi").join(sets.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), percent, common))
 
     found = component_ids(members, links)
     sizes = signed.select("did", "dkey", "node", F.col("size").alias("n_shingles")).dropDuplicates(["did", "dkey"])

@@ -146,7 +146,9 @@ def test_candidates_are_complete_on_random_sets():
             b = np.unique(np.concatenate((a[int(rng.integers(0, max(1, size // 6))) :], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, size // 6))), dtype=np.uint64))))
             both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if 100 * both >= percent * union and len(b) and not np.array_equal(a, b):
-                assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+                for share in (0, 0.3, 1):
+                    common = np.sort(rng.permutation(a)[: int(share * len(a))])
+                    assert set(bands.signatures(a, common).tolist()) & set(bands.signatures(b, common).tolist())
                 sizes = np.array([len(a), len(b)])
                 assert jaccard_join.may_link(sizes, *jaccard_join._joined([jaccard_join.sketch(a), jaccard_join.sketch(b)]), np.array([0]), np.array([1]), percent).all()
 
