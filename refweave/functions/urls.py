@@ -85,36 +85,37 @@ def with_resolved(rows: DataFrame, out: str, href: Column, base: Column | None =
     """rows and a column out: the canonical absolute form of href against base (absolute, legal or null), or null if it is
     no usable web link.
 
-    Each step is a projection of its own, so that no expression is computed twice; all of them run in one stage.
+    Each step refers to the ones before by name, so that no expression is computed twice; all of them run in one stage.
     unicode=False leaves NFC out; then all of it stays in the JVM, and differs only for decomposed characters.
     """
     c = lambda name: F.col(f"__url_{name}")
     empty = F.lit("")
-    step = lambda df, **new: df.select("*", *(v.alias(f"__url_{k}") for k, v in new.items()))
-    df = step(rows, h=trimmed(href), b=F.lit(None).cast("string") if base is None else base)
     names = {"scheme": "PROTOCOL", "authority": "AUTHORITY", "host": "HOST", "path": "PATH"}
-    df = step(df, asks=_part(c("h"), "QUERY"), mark=_part(c("h"), "REF"), **{f"own_{k}": _part(c("h"), v) for k, v in names.items()}, **{f"base_{k}": _part(c("b"), v) for k, v in names.items()})
-    own = c("own_scheme").isNotNull() | c("own_authority").isNotNull()
-    lone = ~own & (c("own_path") == "") & c("asks").isNull() & c("mark").isNotNull()  # a fragment means the base itself
-    df = step(df, own=own, lone=lone, query=F.when(lone, _part(c("b"), "QUERY")).otherwise(c("asks")), scheme=F.lower(F.coalesce(c("own_scheme"), c("base_scheme"))), folder=F.regexp_extract(c("base_path"), r"^(.*/)?", 0))
-    df = step(
-        df,
-        host=F.lower(F.when(c("own"), c("own_host")).otherwise(c("base_host"))),
-        port=F.regexp_replace(F.regexp_extract(F.when(c("own"), c("own_authority")).otherwise(c("base_authority")), r":(\d+)$", 1), r"^0+(?=\d)", ""),
-        merged=F.when(c("own_path") == "", c("folder")).otherwise(F.concat(F.when(c("folder") == "", "/").otherwise(c("folder")), c("own_path"))),
-    )
-    df = step(df, kept=path_segments(c("merged")))
-    df = step(df, raw=F.when(c("lone"), c("base_path")).when(c("own") | c("own_path").startswith("/"), c("own_path")).otherwise(joined_path(c("merged"), c("kept"))))
-    df = step(df, clean=decoded(c("raw")), asked=decoded(c("query")))
+    steps = {"h": trimmed(href), "b": F.lit(None).cast("string") if base is None else base, "asks": _part(c("h"), "QUERY"), "mark": _part(c("h"), "REF")}
+    steps |= {f"own_{k}": _part(c("h"), v) for k, v in names.items()} | {f"base_{k}": _part(c("b"), v) for k, v in names.items()}
+    steps["own"] = c("own_scheme").isNotNull() | c("own_authority").isNotNull()
+    steps["lone"] = ~c("own") & (c("own_path") == "") & c("asks").isNull() & c("mark").isNotNull()  # a fragment means the base itself
+    steps["query"] = F.when(c("lone"), _part(c("b"), "QUERY")).otherwise(c("asks"))
+    steps["scheme"] = F.lower(F.coalesce(c("own_scheme"), c("base_scheme")))
+    steps["host"] = F.lower(F.when(c("own"), c("own_host")).otherwise(c("base_host")))
+    steps["port"] = F.regexp_replace(F.regexp_extract(F.when(c("own"), c("own_authority")).otherwise(c("base_authority")), r":(\d+)$", 1), r"^0+(?=\d)", "")
+    steps["folder"] = F.regexp_extract(c("base_path"), r"^(.*/)?", 0)
+    steps["merged"] = F.when(c("own_path") == "", c("folder")).otherwise(F.concat(F.when(c("folder") == "", "/").otherwise(c("folder")), c("own_path")))
+    steps["kept"] = path_segments(c("merged"))
+    steps["raw"] = F.when(c("lone"), c("base_path")).when(c("own") | c("own_path").startswith("/"), c("own_path")).otherwise(joined_path(c("merged"), c("kept")))
+    steps["clean"], steps["asked"] = decoded(c("raw")), decoded(c("query"))
+    path, query = "clean", "asked"
     if unicode:
-        df = df.withColumns({"__url_clean": composed(c("clean")), "__url_asked": composed(c("asked"))})
-    df = step(df, shown=F.when(c("clean") == "", "/").otherwise(c("clean")))
+        path, query = "clean_nfc", "asked_nfc"
+        steps[path], steps[query] = composed(c("clean")), composed(c("asked"))
+    steps["shown"] = F.when(c(path) == "", "/").otherwise(c(path))
     default = F.lit(False)
     for name, number in DEFAULT_PORTS.items():
         default = default | ((c("scheme") == name) & (c("port") == number))
     port = F.when((c("port") == "") | default, empty).otherwise(F.concat(F.lit(":"), c("port")))
-    tail = F.when(F.coalesce(c("asked"), empty) == "", empty).otherwise(F.concat(F.lit("?"), _encoded(c("asked"), QUERY_LEGAL)))
-    df = step(df, url=F.concat(c("scheme"), F.lit("://"), c("host"), port, _encoded(c("shown"), PATH_LEGAL), tail))
+    tail = F.when(F.coalesce(c(query), empty) == "", empty).otherwise(F.concat(F.lit("?"), _encoded(c(query), QUERY_LEGAL)))
+    steps["url"] = F.concat(c("scheme"), F.lit("://"), c("host"), port, _encoded(c("shown"), PATH_LEGAL), tail)
+    df = rows.select("*", *(v.alias(f"__url_{k}") for k, v in steps.items()))
     legal = c("own_path").isNotNull() & (c("own_scheme").isNotNull() | c("base_path").isNotNull()) & c("scheme").isin(*DEFAULT_PORTS) & (c("host") != "") & c("shown").startswith("/")
     found = F.when(is_usable_href(c("h")) & legal & (F.length(c("url")) <= LONGEST), c("url"))
     # a generator keeps filters on the result from being pushed into the steps, which would copy them over and over
