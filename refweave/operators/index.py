@@ -41,13 +41,21 @@ def fan_in(edges: DataFrame) -> DataFrame:
 
 
 def stats(edges: DataFrame) -> DataFrame:
-    """One row: links_emitted (before duplicates go), backlink_keys, backlink_edges, max_fan_in, distinct_sources, in one shuffle of
-    distinct edges and one of each end."""
-    emitted = edges.groupBy("target", "source").agg(F.count("*").alias("n"))
-    by_target = emitted.groupBy("target").agg(F.count("*").alias("fan_in"), F.sum("n").alias("n"))
-    totals = by_target.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links_emitted"), F.count("*").alias("backlink_keys"), F.coalesce(F.sum("fan_in"), F.lit(0)).alias("backlink_edges"), F.coalesce(F.max("fan_in"), F.lit(0)).alias("max_fan_in"))
-    sources = edges.select("source").distinct().agg(F.count("*").alias("distinct_sources"))
-    return totals.crossJoin(sources)  # one row each
+    """One row: links_emitted (before duplicates go), backlink_keys, backlink_edges, max_fan_in, distinct_sources.
+
+    The edges are read once: a shuffle makes them distinct, and another counts both of their ends, each combined before it."""
+    once = edges.groupBy("target", "source").agg(F.count("*").alias("n"))
+    end = lambda name: F.struct(F.lit(name == "target").alias("is_target"), F.col(name).alias("key"), F.col("n"))
+    ends = once.select(F.explode(F.array(end("target"), end("source"))).alias("e")).select("e.*")
+    counted = ends.groupBy("is_target", "key").agg(F.count("*").alias("degree"), F.sum("n").alias("n"))
+    of_targets = lambda c: F.when(F.col("is_target"), c)
+    return counted.agg(
+        F.coalesce(F.sum(of_targets(F.col("n"))), F.lit(0)).alias("links_emitted"),
+        F.count(of_targets(F.lit(1))).alias("backlink_keys"),
+        F.coalesce(F.sum(of_targets(F.col("degree"))), F.lit(0)).alias("backlink_edges"),
+        F.coalesce(F.max(of_targets(F.col("degree"))), F.lit(0)).alias("max_fan_in"),
+        F.count(F.when(~F.col("is_target"), 1)).alias("distinct_sources"),
+    )
 
 
 def skew_profile(edges: DataFrame) -> DataFrame:
