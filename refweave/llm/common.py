@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Documents without an id sort behind all others.
 NO_ID = (1 << 63) - 1
+#: Rows of a batch that goes to a Python worker while a stage table is written, so that texts of some KB stay within its memory.
+BATCH, _BATCH = 2_500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(was), BATCH) if int(was) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, was)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

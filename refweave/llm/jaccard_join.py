@@ -38,7 +38,7 @@ CLUSTER = 4_000_000
 #: Shingles for each part of a sketch, at least; a power of two of parts, up to PARTS.
 SKETCH, PARTS = 4, 1 << 15
 #: Bytes of text whose signatures are made at a time.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Ranges beyond D + 1, so that sets of which a few ranges are empty or common still share another one.
 SPARE = 6
 #: Texts of the sample, of the least hashes, from which shingles that several of them hold count as common.

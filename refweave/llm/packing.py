@@ -14,6 +14,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,7 @@ class Encoder:
     """Token ids of a byte-level BPE. Strings of special tokens in a text are ordinary text."""
 
     def __init__(self, vocabulary: str, ranks: str | None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.vocabulary, self.fast = vocabulary, None
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -45,6 +42,15 @@ class Encoder:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """Loaded when a text needs it, for it takes far more memory."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.vocabulary)
+        out.encode_special_tokens = True
+        return out
+
     def ids(self, text: str) -> list[int]:
         if self.fast and (text.isascii() or COMMON.fullmatch(text)):
             return self.fast.encode_ordinary(text)
