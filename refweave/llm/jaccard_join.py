@@ -42,7 +42,7 @@ SLICE = 1 << 22
 #: Ranges beyond D + 1, so that sets of which a few ranges are empty or common still share another one.
 SPARE = 6
 #: Texts of the sample, of the least hashes, from which shingles that several of them hold count as common.
-SAMPLE = 8_000
+SAMPLE = 32_000
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
