@@ -84,8 +84,7 @@ _SIGNED = f"CASE WHEN {_HASH} >= 2147483648 THEN {_HASH} - 4294967296 ELSE {_HAS
 
 
 def _index_stats(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d).select("url", "html").dropDuplicates(["url"])
-    counted = index.stats(extract.pages_to_edges(pages, include_internal=True))
+    counted = index.stats(index.distinct_edges(_page_edges(spark, d)))  # of all pages: a URL may come with several HTMLs
     return counted.select("links_emitted", "backlink_keys", "backlink_edges", "max_fan_in", "distinct_sources")
 
 

@@ -32,6 +32,17 @@ def test_query_against_duckdb(spark, name):
     assert rows(found, columns) == sorted(repr([r[i] for i in at]) for r in want.fetchall())
 
 
+def test_page_statistics_take_every_crawl_of_a_url(spark, tmp_path):
+    link = '<a href="/{}">x</a>'
+    crawls = [("http://a.com/", link.format("p")), ("http://a.com/", link.format("q")), ("http://a.com:80/", link.format("r")), ("http://b.com/", link.format("p"))]
+    spark.createDataFrame([(i, *c) for i, c in enumerate(crawls)] + [(1, *crawls[1])], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["page_index_stats"])
+    found = queries.QUERIES["page_index_stats"](spark, str(tmp_path)).first().asDict()
+    assert found == dict(zip(want.columns, want.fetchall()[0], strict=True)) and found["links_emitted"] == 4
+
+
 def test_index_does_not_depend_on_partitions_order_or_repeats(spark):
     edges = synthetic.generate(spark, 400, 5)
     want = rows(index.backlinks(edges))
