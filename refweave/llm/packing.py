@@ -11,6 +11,7 @@ needs its rank among those of its length, which is counted in cells of bounded s
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,10 +31,12 @@ COMMON = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]*")
 
 
 class Encoder:
-    """Token ids of a byte-level BPE. Strings of special tokens in a text are ordinary text."""
+    """Token ids of a byte-level BPE, as tokenizers gives them by default: strings of added tokens in a text are those tokens."""
 
     def __init__(self, vocabulary: str, ranks: str | None):
         self.vocabulary, self.fast = vocabulary, None
+        with open(vocabulary, "rb") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens") or ()]
         if ranks:
             import public_tokenizers
             import tiktoken
@@ -47,12 +50,10 @@ class Encoder:
         """Loaded when a text needs it, for it takes far more memory."""
         from tokenizers import Tokenizer
 
-        out = Tokenizer.from_file(self.vocabulary)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(self.vocabulary)
 
     def ids(self, text: str) -> list[int]:
-        if self.fast and (text.isascii() or COMMON.fullmatch(text)):
+        if self.fast and (text.isascii() or COMMON.fullmatch(text)) and not any(t in text for t in self.added):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 

@@ -201,6 +201,12 @@ def test_fast_tokens_equal_those_of_the_library(spark):
         assert encoder.ids(text) == encoder.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_are_tokens():
+    encoder = packing.Encoder(*packing.vocabulary_paths())
+    assert encoder.ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert encoder.ids("a <|endoftext|") == encoder.fast.encode_ordinary("a <|endoftext|")
+
+
 def test_mixing_draws_and_orders(docs, spark):
     out = mixing.mix(docs, share=3.0)
     rows = out.select("row.doc_id", "row.text", "row.source", "copy", "copies", "rate", "order_key").collect()
