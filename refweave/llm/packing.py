@@ -3,7 +3,8 @@
 Only the histogram of piece lengths decides how pieces are packed, and it has as many rows as a sequence has tokens, however
 large the corpus is. On it, Martello and Toth's reduction first fixes sets that provably dominate all others with the same
 piece: a piece that nothing fits beside; the largest partner that fits, where it fills the sequence or where no two others
-would fit. What remains is packed by best fit, largest first. Equal sequences are handled at once, so that the plan is a
+would fit; and where two but not three would, that partner alone if no two together are larger, or with the largest third
+piece if no two that are both larger than the third would fit. What remains is packed by best fit, largest first. Equal sequences are handled at once, so that the plan is a
 few thousand rows: which sequences take pieces of this length, from which rank on, at which place. Each piece then only
 needs its rank among those of its length, which is counted in cells of bounded size, and looks its place up.
 """
@@ -14,6 +15,7 @@ import base64
 import json
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -107,15 +109,54 @@ class Counts:
             del self.counts[length]
             self.sorted.remove(length)
 
+    def give(self, length: int) -> None:
+        if length not in self.counts:
+            insort(self.sorted, length)
+        self.counts[length] = self.counts.get(length, 0) + 1
+
     def largest(self, limit: int) -> int | None:
-        at = int(np.searchsorted(self.sorted, limit, "right")) if self.sorted else 0
+        at = bisect_right(self.sorted, limit)
         return self.sorted[at - 1] if at else None
 
-    def two_smallest(self) -> int | None:
-        if not self.sorted:
-            return None
-        low = self.sorted[0]
-        return 2 * low if self.counts[low] > 1 else low + self.sorted[1] if len(self.sorted) > 1 else None
+    def smallest(self, n: int, above: int = 0) -> int | None:
+        """The sum of the n smallest that are larger than `above`; None if there are not so many."""
+        total = 0
+        for at in range(bisect_right(self.sorted, above), len(self.sorted)):
+            some = min(n, self.counts[self.sorted[at]])
+            total, n = total + some * self.sorted[at], n - some
+            if not n:
+                return total
+        return None
+
+    def largest_pair(self, limit: int) -> int:
+        """The largest sum of two up to a limit; 0 if no two fit."""
+        best = 0
+        for low in self.sorted:
+            if 2 * low > limit:
+                break
+            high = self.largest(limit - low)
+            if high > low or self.counts[low] > 1:
+                best = max(best, low + high)
+        return best
+
+
+def _dominating(left: Counts, room: int) -> tuple[int, ...] | None:
+    """Of the pieces that are left, those whose set dominates every other that fits the room beside a piece; None if not known."""
+    partner = left.largest(room)
+    if partner is None:
+        return ()
+    fits = lambda total: total is not None and total <= room
+    if partner == room or not fits(left.smallest(2)):
+        return (partner,)
+    if fits(left.smallest(3)):
+        return None
+    if partner >= left.largest_pair(room):
+        return (partner,)
+    left.take(partner, 1)
+    third = left.largest(room - partner)
+    left.give(partner)
+    # of any two that fit, the larger is at most the partner, and the smaller at most the third
+    return (partner, third) if third is not None and not fits(left.smallest(2, third)) else None
 
 
 def reduce_dominated(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -127,27 +168,15 @@ def reduce_dominated(counts: dict[int, int], size: int) -> tuple[list[tuple[tupl
         for length in sorted(left.counts, reverse=True):
             while length in left.counts:
                 left.take(length, 1)  # the piece itself is no partner of its own
-                partner = left.largest(size - length)
-                pair = left.two_smallest()
-                have = left.counts.get(length, 0) + 1
-                if partner is None:
-                    fixed.append(((length,), have))
-                    if have > 1:
-                        left.take(length, have - 1)
-                elif length + partner == size or pair is None or length + pair > size:
-                    n = have // 2 if partner == length else min(have, left.counts[partner])
-                    fixed.append(((length, partner), n))
-                    if partner == length:
-                        left.take(length, 2 * n - 1)
-                    else:
-                        left.take(partner, n)
-                        if n > 1:
-                            left.take(length, n - 1)
-                else:
-                    left.counts[length] = left.counts.get(length, 0) + 1
-                    if length not in left.sorted:
-                        left.sorted.insert(int(np.searchsorted(left.sorted, length)) if left.sorted else 0, length)
+                beside = _dominating(left, size - length)
+                left.give(length)
+                if beside is None:
                     break
+                held = (length, *beside)
+                n = min(left.counts[x] // held.count(x) for x in held)  # what dominates still does with fewer pieces left
+                fixed.append((held, n))
+                for x in held:
+                    left.take(x, n)
                 again = True
     return fixed, left.counts
 

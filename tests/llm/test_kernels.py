@@ -147,6 +147,13 @@ def test_packing_plan_is_valid_and_no_worse_than_plain_best_fit():
         assert sequences <= _sequential_best_fit(lengths, size)
 
 
+def test_three_pieces_are_fixed_where_they_dominate():
+    fixed, left = packing.reduce_dominated({2: 3, 3: 1, 5: 1, 6: 1}, 10)
+    assert sum(n for _, n in fixed) + len(packing.best_fit(left, 10)) == packing.plan({2: 3, 3: 1, 5: 1, 6: 1}, 10)[1] == 2
+    assert packing.plan({3: 1, 6: 3, 7: 1, 11: 1}, 20)[1] == packing.plan({6: 1, 7: 1, 8: 1, 10: 1, 13: 1, 14: 1}, 30)[1] == 2
+    assert any(len(held) == 3 for held, _ in packing.reduce_dominated({6: 2, 5: 1, 4: 2, 3: 1}, 14)[0])
+
+
 def test_cuts():
     assert packing.cuts(5, 4) == [(0, 1), (1, 4)]
     assert packing.cuts(8, 4) == [(0, 4), (4, 4)]
