@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps letters of other scripts that look like Latin ones, and digits and signs that stand for letters;
 everything else that isn't a letter parts words. Entries are whole words or beginnings of words. The lexicon is learned
-from labelled texts: entries that toxic texts hold far oftener than clean ones, taken greedily until they cover the toxic
-texts, each weighted by the log ratio of its rates. Hits inside an exception phrase don't count; phrases can be given, and
+from labelled texts: entries that toxic texts hold far oftener than clean ones, rare ones beyond chance, taken greedily until they cover
+the toxic texts, each weighted by the log ratio of its rates. Hits inside an exception phrase don't count; phrases can be given, and
 those that only clean texts hold around an entry are learned. The sum of the weights, and that sum per word of the text,
 go through a logistic curve fitted to the labels.
 """
@@ -25,8 +25,9 @@ from .common import fold_of, table
 
 #: Labelled texts that the lexicon is learned from at most, those of the least hashes of their ids.
 FIT = 12_000
-#: An entry must cover so many toxic texts, and this share of them; a text that others cover counts half for each.
-NEW, SHARE = 4, 0.01
+#: An entry must cover so many toxic texts, and this share of them if it may be one of CHANCE false ones that are expected of
+#: all that are tried, were they held regardless of labels; a text that others cover counts half for each.
+NEW, SHARE, CHANCE = 4, 0.01, 0.05
 #: Least log odds of a text that holds an entry, highest weight, letters of a beginning of a word.
 ODDS, HEAVIEST, SHORTEST, LONGEST = 1.5, 6.0, 4, 14
 
@@ -132,6 +133,17 @@ def _common(sets: list[set[str]], least: int) -> Counter[str]:
     return out
 
 
+def _chance(k: int, c: int, toxic: int, clean: int) -> float:
+    """Fisher's exact test, one-sided: the probability that of k + c texts, drawn from all, k or more are toxic."""
+    log = lambda n, m: math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1)
+    term = math.exp(log(toxic, k) + log(clean, c) - log(toxic + clean, k + c))
+    total = term
+    while k < toxic and c and term > 1e-9 * total:
+        term *= (toxic - k) * c / ((k + 1) * (clean - c + 1))
+        total, k, c = total + term, k + 1, c - 1
+    return total
+
+
 def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -> Lexicon:
     """A lexicon from labelled texts. Without labels of both kinds it has no entries and scores all alike."""
     # without both kinds of labels all texts score alike
@@ -141,31 +153,32 @@ def learn(texts: list[str], labels: list[int], exceptions: Iterable[str] = ()) -
     lexicon.bias = math.log((len(toxic) + 0.5) / (len(clean) + 0.5))
     if not toxic or not clean:
         return lexicon
-    least = max(NEW, math.ceil(SHARE * len(toxic)))
     sets = [set(fold(texts[i]).split()) for i in toxic]
-    in_toxic = _common(sets, least)
+    in_toxic = _common(sets, NEW)
     able = set(in_toxic)
     in_clean: Counter[str] = Counter()
     for i in clean:
         in_clean.update(able & _entries(set(fold(texts[i]).split())))
     odds = lambda e: math.log((in_toxic[e] + 0.5) / (len(toxic) + 1)) - math.log((in_clean[e] + 0.5) / (len(clean) + 1))
     able = {e for e in able if odds(e) >= ODDS}
+    share = max(NEW, math.ceil(SHARE * len(toxic)))
+    least = {e: NEW if _chance(in_toxic[e], in_clean[e], len(toxic), len(clean)) * len(in_toxic) <= CHANCE else share for e in able}
     holders: dict[str, list[int]] = {e: [] for e in able}
     for i, held in zip(toxic, sets, strict=True):
         for e in able & _entries(held):
             holders[e].append(i)
-    share = dict.fromkeys(toxic, 1.0)
+    left = dict.fromkeys(toxic, 1.0)
     chosen: list[str] = []
     while holders:
-        gain = {e: sum(share[i] for i in h) for e, h in holders.items()}
-        holders = {e: holders[e] for e, g in gain.items() if g >= least}
+        gain = {e: sum(left[i] for i in h) for e, h in holders.items()}
+        holders = {e: holders[e] for e, g in gain.items() if g >= least[e]}
         # of entries that tell as much, the whole word, then the longest beginning
         entry = max(holders, key=lambda e: (round(gain[e] * odds(e), 9), e.endswith(" "), len(e), e), default=None)
         if entry is None:
             break
         chosen.append(entry)
         for i in holders[entry]:
-            share[i] /= 2
+            left[i] /= 2
         holders = {e: h for e, h in holders.items() if not (e.startswith(entry) or entry.startswith(e))}
     words, hits = [0, 0], [Counter(), Counter()]
     for text, y in zip(texts, labels, strict=True):

@@ -315,6 +315,18 @@ def test_toxicity_folds_matches_and_spares():
     assert toxicity.learn(["a"], [0]).weights == {}
 
 
+def test_toxicity_learns_words_of_few_toxic_texts():
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choice(WORDS) for _ in range(20))
+    WORDS = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    toxic = [plain() + (" grubnar" if i < 12 else " scummo") for i in range(1300)]
+    clean = [plain() for _ in range(10700)]
+    lexicon = toxicity.learn(toxic + clean, [1] * 1300 + [0] * 10700)
+    hits = [toxicity.density(lexicon.matcher(), t)[2] for t in ("a grubnar", "a scummo", plain())]
+    assert hits == [1, 1, 0] and len(lexicon.weights) == 2
+    assert toxicity._chance(2, 1, 3, 4) == pytest.approx(13 / 35) and toxicity._chance(0, 2, 3, 4) == pytest.approx(1)
+
+
 def test_toxicity_held_out_quality(spark):
     found = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1")
     marked = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
