@@ -1,7 +1,7 @@
 """Operator 9, toxicity: a weighted lexicon matched by Aho-Corasick after folding, normalised by length.
 
 Folding lower-cases, maps letters of other scripts that look like Latin ones, and digits and signs that stand for letters;
-everything else that isn't a letter parts words. Entries are whole words or beginnings of words. The lexicon is learned
+l and i are one letter, as a 1 may stand for either, and everything else that isn't a letter parts words. Entries are whole words or beginnings of words. The lexicon is learned
 from labelled texts: entries that toxic texts hold far oftener than clean ones, rare ones beyond chance, taken greedily until they cover
 the toxic texts, each weighted by the log ratio of its rates. Hits inside an exception phrase don't count; phrases can be given, and
 those that only clean texts hold around an entry are learned. The sum of the weights, and that sum per word of the text,
@@ -11,7 +11,7 @@ go through a logistic curve fitted to the labels.
 from __future__ import annotations
 
 import math
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -39,16 +39,30 @@ HOMOGLYPHS = {
 # Digits and signs and the letters they stand for.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
-_homoglyph = re.compile(f"[{''.join(HOMOGLYPHS)}{chr(0xFF41)}-{chr(0xFF5A)}‐-⁯​-‏]")
-_fold = str.maketrans(HOMOGLYPHS | {chr(0xFF41 + i): chr(97 + i) for i in range(26)} | {chr(i): " " for i in range(0x2010, 0x2070)} | {chr(i): "" for i in range(0x200B, 0x2010)})
-_ascii = bytes(ord(DIGITS.get(chr(i).lower(), chr(i).lower() if chr(i).isalpha() or i > 127 else " ")) if i < 128 else i for i in range(256))
+# Signs that don't show, within words.
+UNSEEN = [0xAD, 0x2060, 0xFEFF, *range(0x200B, 0x2010), *range(0xFE00, 0xFE10)]
+
+
+class _Fold(dict):
+    """Of characters beyond ASCII: letters, and the marks that belong to them, are kept, and all else that isn't mapped is a blank."""
+
+    def __missing__(self, i: int) -> str:
+        c = chr(i)
+        self[i] = c if i < 128 or c.isalpha() or unicodedata.category(c) in ("Mn", "Mc") else " "
+        return self[i]
+
+
+_fold = _Fold({ord(c): x for c, x in HOMOGLYPHS.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | dict.fromkeys(UNSEEN, ""))
+_ascii = bytes(ord((DIGITS | {"l": "i"}).get(chr(i).lower(), chr(i).lower() if chr(i).isalpha() or i > 127 else " ")) if i < 128 else i for i in range(256))
 
 
 def fold(text: str) -> str:
     """The words of a text in folded form, with blanks around and between them."""
     text = text.lower()
-    if not text.isascii() and _homoglyph.search(text):
-        text = text.translate(_fold)
+    if not text.isascii():
+        beyond = text.encode("utf-8", "replace").translate(None, bytes(range(128))).decode("utf-8")
+        if any(_fold[ord(c)] != c for c in set(beyond)):
+            text = text.translate(_fold)
     return " " + text.encode("utf-8", "replace").translate(_ascii).decode("utf-8", "replace") + " "
 
 
@@ -69,9 +83,8 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            found.add_word(entry, (len(entry), weight))
-            if (other := entry.replace("l", "i")) not in self.weights:  # a 1 may stand for either
-                found.add_word(other, (len(entry), weight))
+            entry = entry.replace("l", "i")  # as in folded text
+            found.add_word(entry, (len(entry), max(weight, found.get(entry, (0, weight))[1])))
         for phrase in self.exceptions:
             phrase = " " + " ".join(fold(phrase).split()) + " "
             found.add_word(phrase, (len(phrase), None))

@@ -327,6 +327,16 @@ def test_toxicity_learns_words_of_few_toxic_texts():
     assert toxicity._chance(2, 1, 3, 4) == pytest.approx(13 / 35) and toxicity._chance(0, 2, 3, 4) == pytest.approx(1)
 
 
+def test_toxicity_parts_words_at_all_that_is_no_letter():
+    matcher = toxicity.Lexicon({" scummo ": 5.0, " killall ": 5.0}).matcher()
+    hits = lambda t: toxicity.density(matcher, t)[2]
+    for sign in "\xa0«»¡¿。、「」…–\u3000٣❤":
+        assert hits(f"a{sign}scummo{sign}b") == 1, sign
+    assert hits("kill\xada\u200bll") == hits("k1lla11") == hits("kil1al1") == hits("KI1LALL") == 1
+    assert hits("éscummo") == hits("scummoß") == hits("scummo\u0308") == hits("हिscummo") == 0
+    assert toxicity.fold("é हिन्दी, L1l") == " é हिन्दी  iii "
+
+
 def test_toxicity_held_out_quality(spark):
     found = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1")
     marked = found.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
