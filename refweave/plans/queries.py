@@ -1,7 +1,7 @@
 """The registered queries of the link-graph engine, and the same in DuckDB's SQL.
 
 Indexes come out with their sources as one text, parted by blanks. Edge lists are taken from lineitem (supplier to part), pages
-from pages; literal tables stand in where no table has such values. Pages link within their sites only, so internal links count.
+from pages; literal tables stand in where no table has such values, or add rarer ones to what a table has. Pages link within their sites only, so internal links count.
 """
 
 from __future__ import annotations
@@ -101,6 +101,7 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_hrefs": lambda s, d: extract.hrefs(_pages(s, d), "page_id"),
     "entity_decode": lambda s, d: _values(s, ENTITIES).select("v", html.decode_entities(F.col("v")).alias("decoded")),
+    "entity_decode_pages": lambda s, d: _pages(s, d).select("page_id", html.decode_entities(F.col("html")).alias("decoded")),
     "normalize_urls": lambda s, d: urls.with_resolved(_pages(s, d).select("page_id", "url"), "canonical", F.col("url")).select("page_id", "canonical"),
     "host_of": lambda s, d: _pages(s, d).select("page_id", urls.host_of(F.col("url")).alias("host")),
     "same_site": lambda s, d: _pages(s, d).select("page_id", urls.same_site(urls.host_of(F.col("url")), F.regexp_replace(urls.host_of(F.col("url")), "^(m|blog)", "www")).alias("same")),
@@ -137,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "is_article": lambda s, d: _values(s, WIKI).select("v", wiki.is_article(F.col("v")).alias("article")),
     "title_of": lambda s, d: _values(s, WIKI).select("v", wiki.title_of(F.col("v")).alias("title")),
     "text_escape": lambda s, d: _values(s, ESCAPES).select("v", text.escape(F.col("v")).alias("escaped"), text.unescape(text.escape(F.col("v"))).alias("back")),
+    "text_escape_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.escape(F.col("text")).alias("escaped"), text.unescape(text.escape(F.col("text"))).alias("back")),
     "sanitize": lambda s, d: _values(s, NODES).select("v", text.sanitize(F.col("v")).alias("clean"), text.is_partition_id(F.col("v")).alias("valid")),
     "human_units": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", text.human_bytes(F.col("o_orderkey") * 1024).alias("size"), text.human_millis(F.col("o_orderkey") * 10).alias("time")),
     "locality_rate": lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", text.locality_rate(F.col("n_nationkey"), F.col("n_regionkey")).alias("rate")),
@@ -155,6 +157,7 @@ _FIX = "(SELECT DISTINCT source, target FROM page_edges) p"
 ORACLE_SQL = {
     "extract_hrefs": f"SELECT page_id, href FROM ({_HREFS})",
     "entity_decode": f"SELECT v, {_DECODED.replace('href', 'v')} AS decoded FROM {_sql_values(ENTITIES)}",
+    "entity_decode_pages": f"SELECT page_id, {_DECODED.replace('href', 'html')} AS decoded FROM pages",
     "normalize_urls": f"SELECT page_id, {_canonical('trim(url)')} AS canonical FROM pages",
     "host_of": f"SELECT page_id, {_HOST.format('url')} AS host FROM pages",
     "same_site": f"""SELECT page_id, regexp_replace({_HOST.format('url')}, '^www\\.', '') = regexp_replace(regexp_replace({_HOST.format('url')}, '^(m|blog)', 'www'), '^www\\.', '') AS same FROM pages""",
@@ -192,6 +195,7 @@ ORACLE_SQL = {
       AND lower(trim(replace(split_part(regexp_extract(v, '/wiki/(.*)', 1), ':', 1), '_', ' '))) IN ({', '.join(repr(n) for n in wiki.NO_ARTICLES)})) AS article FROM {_sql_values(WIKI)}""",
     "title_of": f"SELECT v, CASE WHEN v LIKE '%/wiki/%' THEN replace(url_decode(replace(regexp_extract(v, '/wiki/(.*)', 1), '+', ' ')), '_', ' ') ELSE v END AS title FROM {_sql_values(WIKI)}",
     "text_escape": "SELECT v, replace(replace(replace(replace(v, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS escaped, v AS back FROM " + _sql_values(ESCAPES),
+    "text_escape_documents": "SELECT doc_id, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(9), chr(92) || 't'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') AS escaped, text AS back FROM documents",
     "sanitize": f"SELECT v, lower(regexp_replace(v, '[^A-Za-z0-9_-]', '-', 'g')) AS clean, regexp_full_match(v, '[A-Za-z0-9._-]{{1,128}}') AND v NOT IN ('.', '..') AS valid FROM {_sql_values(NODES)}",
     "human_units": """SELECT o_orderkey, CASE WHEN o_orderkey < 1 THEN o_orderkey * 1024 || ' B' WHEN o_orderkey < 1024 THEN o_orderkey || '.0 KB' WHEN o_orderkey < 1048576 THEN CAST(round(CAST(o_orderkey / 1024 AS DECIMAL(30, 12)), 1) AS DECIMAL(20, 1)) || ' MB' ELSE CAST(round(CAST(o_orderkey / 1048576 AS DECIMAL(36, 22)), 2) AS DECIMAL(20, 2)) || ' GB' END AS size,
       CASE WHEN o_orderkey < 100 THEN o_orderkey * 10 || ' ms' WHEN o_orderkey < 6000 THEN CAST(round(CAST(o_orderkey AS DECIMAL(20, 4)) / 100, 1) AS DECIMAL(20, 1)) || ' s' ELSE (o_orderkey * 10 // 60000) || ' m ' || (o_orderkey * 10 % 60000 // 1000) || ' s' END AS time FROM orders""",

@@ -43,6 +43,13 @@ def test_page_statistics_take_every_crawl_of_a_url(spark, tmp_path):
     assert found == dict(zip(want.columns, want.fetchall()[0], strict=True)) and found["links_emitted"] == 4
 
 
+def test_decoding_and_escaping_meet_values_of_the_tables(spark):
+    data = "/root/testdata/sf0.1"
+    pages, docs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pages", "documents"))
+    assert queries.QUERIES["entity_decode_pages"](spark, data).join(pages, "page_id").where("decoded <> html").count() > 100
+    assert queries.QUERIES["text_escape_documents"](spark, data).join(docs, "doc_id").where("escaped <> text and back = text").count() > 9000
+
+
 def test_index_does_not_depend_on_partitions_order_or_repeats(spark):
     edges = synthetic.generate(spark, 400, 5)
     want = rows(index.backlinks(edges))
