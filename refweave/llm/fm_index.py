@@ -64,30 +64,37 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over integer texts that zeros part. symbols are 1 to sigma - 1."""
+    """Backward search over integer texts that zeros part. symbols are 1 to sigma - 1.
+
+    The suffix array is not kept: besides the wavelet matrix there is only, in as few bytes as it takes, which text each suffix
+    in order belongs to.
+    """
 
     def __init__(self, text: np.ndarray, sigma: int):
         self.n = len(text)
-        self.order = suffix_order(text)
-        self.wavelet = WaveletMatrix(text[self.order - 1], sigma)
+        order = suffix_order(text)
+        self.wavelet = WaveletMatrix(text[order - 1], sigma)
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.base = self.wavelet.down(np.arange(sigma), np.zeros(sigma, np.int64))
+        owner = np.cumsum(text == 0) - (text == 0)
+        self.text_of = owner[order].astype(np.min_scalar_type(int(owner.max(initial=0))))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffixes that begin with symbol and go on as those in [low, high)."""
         at = self.less[symbol] - self.base[symbol]
         return at + self.wavelet.down(symbol, low), at + self.wavelet.down(symbol, high)
 
-    def matching(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching(self, text: np.ndarray, ends: np.ndarray, most: int, least: np.ndarray | int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a streamed text against the index: how far back from each end (up to most) what stands
-        there occurs at least twice in the index, and the suffix interval of those that reach most."""
+        there occurs at least `least` times in the index, and the suffix interval of those that reach most."""
         length = np.zeros(len(ends), np.int64)
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
         live = np.arange(len(ends))
+        least = np.broadcast_to(least, len(ends))
         for step in range(most):
             at = ends[live] - step
             a, b = self.extend(text[at], low[live], high[live])
-            go = (b - a >= 2) & (text[at] > 0)
+            go = (b - a >= least[live]) & (text[at] > 0)
             live, a, b = live[go], a[go], b[go]
             low[live], high[live] = a, b
             length[live] = step + 1
@@ -96,8 +103,11 @@ class FMIndex:
         return length, low, high
 
 
-def earlier_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each text, the windows of `window` words that also start earlier: in an earlier text, or further left."""
+def word_repeats(texts: list[bytes], places: np.ndarray, ranks: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the windows of `window` words that occur more than once, and those of them that a text of a lower rank holds
+    too or that stand further left in the same one. A text occurs as often as it has places."""
+    if not texts:
+        return []
     split = [t.split() for t in texts]
     lengths = np.array([len(x) for x in split], np.int64)
     known: dict[bytes, int] = {}
@@ -110,24 +120,22 @@ def earlier_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
     first = np.concatenate(([0], np.cumsum(lengths + 1)))
     counts = np.maximum(lengths - window + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
-    begin = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts) + first[owner]
-    length, low, high = index.matching(text, begin + window - 1, window)
+    place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
+    # a text of several places occurs more than once by itself
+    length, low, high = index.matching(text, place + first[owner] + window - 1, window, np.where(places[owner] > 1, 1, 2))
     hit = np.flatnonzero(length == window)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    if not len(hit):
-        return out
-    lows, where = np.unique(low[hit], return_inverse=True)
-    highs = np.zeros(len(lows), np.int64)
-    highs[where] = high[hit]
-    pairs = np.column_stack((lows, highs)).ravel()
-    least = np.minimum.reduceat(np.append(index.order, index.n), pairs)[::2]
-    late = hit[begin[hit] > least[where]]
-    edges = groups_of_owner(owner[late])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        doc = owner[late[a]]
-        out[doc] = begin[late[a:b]] - first[doc]
-    return out
-
-
-def groups_of_owner(owner: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
+    late = np.zeros(len(hit), bool)
+    if len(hit):
+        lows, where = np.unique(low[hit], return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[where] = high[hit]
+        pairs = np.column_stack((lows, highs)).ravel()
+        lowest = np.minimum.reduceat(np.append(ranks[index.text_of], len(texts)), pairs)[::2][where]
+        late = ranks[owner[hit]] > lowest
+        # the same window further left in one text: of a text's windows in one interval, all but the leftmost
+        by = np.lexsort((place[hit], owner[hit], where))
+        again = np.zeros(len(hit), bool)
+        again[by[1:]] = (where[by[1:]] == where[by[:-1]]) & (owner[hit][by[1:]] == owner[hit][by[:-1]])
+        late |= again
+    edges = np.searchsorted(owner[hit], np.arange(len(texts) + 1))
+    return [(place[hit[a:b]], place[hit[a:b][late[a:b]]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -1,17 +1,21 @@
-"""How both span removers meet equal windows of different documents in one place without shuffling every window.
+"""How both span removers bring equal windows of different documents together without shuffling every window.
 
 1. Each document's windows (20 words, 200 bytes, ...) are cut into runs that share their minimizer (hashing.segments);
    equal windows always lie in runs of the same anchor. A run becomes one small row: anchor and content hash, where it stands.
-2. Rows meet by anchor. Runs of equal content settle there: whole runs are repeats. Equal runs of one batch of documents
-   are settled before the shuffle, so a run that a third of all documents hold costs one row a batch.
-3. Only where one anchor has several contents (a few hundredths of the runs) does text travel: one representative of each
-   content goes, cut from its document, to a shard by its anchor. There an index over the shard's texts, built by the
-   operator (an FM-index or a suffix array), finds the windows that other representatives hold too.
-4. The repeated windows go back to their documents by key.
-
-Nothing here depends on sizes of tables: no counts are capped and all windows of all texts take part. What a task holds is
-its partition of small rows, and one index shard of about SHARD bytes; an anchor of more than WIDE contents is taken apart
-into single windows, which spread by their own hash.
+   Hashes only deal texts out: what is a repeat, the index of step 4 says.
+2. Rows meet by anchor. Runs of one content are one text, with its first place and the number of its places. A run that many
+   documents of a batch hold is one row of that batch here; the batch's other places of it wait for the index's answer.
+3. Of each anchor with more than one place, the text of each content travels, cut from the document of its first place: to
+   the room of the anchor, where it meets the anchor's other contents, and to the rooms where places wait for the
+   answer about it. A room has few places a batch of documents, however many documents hold a run.
+4. A shard is some rooms with about SHARD bytes of text. The operator builds its index over them (an FM-index or a suffix
+   array), and with it finds the windows that occur more than once, or earlier too. All repeats come from there: those of a
+   content's first place from its windows, those of its other places likewise.
+5. The repeated windows go back to their documents by key.
+
+Nothing here depends on sizes of tables: no counts are capped and all windows of all texts take part. Tasks read their rows
+in order of anchor or room, and hold one shard; an anchor of more than WIDE contents is taken apart into single windows,
+which spread by their own hash.
 """
 
 from __future__ import annotations
@@ -26,50 +30,68 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import groups_of, staged, text_buffers, with_key
 
-#: Bytes of text in one index shard, unless one anchor alone has more.
-SHARD = 1 << 20
+_U = np.uint64
+#: Bytes of text in one index shard, unless one room alone has more; places that are answered at a time.
+SHARD, ROWS = 1 << 20, 1 << 17
 #: Contents of an anchor beyond which its windows are dealt out singly.
 WIDE = 4096
+#: Places that wait in the room of their anchor, or one room of their own; places of one batch to a room.
+WAIT, EACH = 256, 8
 
-RUNS = "anchor long, content long, did long, dkey long, start int, windows int, settled boolean, whole boolean"
-FOUND = "did long, dkey long, start int, windows int, ask boolean, anchor long, settled boolean, wide boolean"
-PIECES = "anchor long, did long, dkey long, start int, windows int, settled boolean, body binary"
+RUNS = "anchor long, content long, did long, dkey long, start int, windows int, places int, room long"
+FOUND = "did long, dkey long, start int, windows int, content long, room long, places int, rooms array<long>, wide boolean"
+PIECES = "room long, content long, did long, dkey long, start int, windows int, places int, body binary"
 SPANS = "did long, dkey long, start int, windows int"
 
-
-def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c if k == "binary" else np.ascontiguousarray(c), type=kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
-
-
-def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
-    """All rows of a partition as arrays."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return None
-    table = pa.Table.from_batches(batches)
-    return [c.to_numpy() for c in table.columns]
+#: find(texts, places, ranks, window): for each text, which of its windows occur more than once and which of them earlier too. A text
+#: counts as often as it has places; ranks: the order of the texts' first places.
+Find = Callable[[list[bytes], np.ndarray, np.ndarray, int], list[tuple[np.ndarray, np.ndarray]]]
 
 
-def _settle(anchor, content, did, dkey, start, windows, settled, first: bool):
-    """Rows in order of anchor, content and place, each place once; which rows are repeats as a whole, and which stand for their content."""
-    order = np.lexsort((start, dkey, did, content, anchor))
-    anchor, content, did, dkey, start, windows, settled = (x[order] for x in (anchor, content, did, dkey, start, windows, settled))
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if k == "binary" else np.ascontiguousarray(c), type=kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[pa.Table], bool]) -> Iterator[pa.Table]:
+    """A partition in order of key as tables that hold each key whole, each as small as full allows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if not full(held):
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if cut:
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rooms(anchor: np.ndarray, content: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The rooms in which places of a content wait."""
+    return hashing.mix(anchor.view(_U) + hashing.mix(content.view(_U) + hashing.mix(number.astype(_U) + _U(1)))).view(np.int64)
+
+
+def _in_order(anchor, content, did, dkey, start, *rest):
+    """Columns in order of anchor, content and place (and of the last of rest), where a content begins and where a place."""
+    order = np.lexsort((*rest[-1:], start, dkey, did, content, anchor))
+    out = [x[order] for x in (anchor, content, did, dkey, start, *rest)]
+    anchor, content, did, dkey, start = out[:5]
     new = np.ones(len(order), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
     place = new.copy()
     place[1:] |= (did[1:] != did[:-1]) | (dkey[1:] != dkey[:-1]) | (start[1:] != start[:-1])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group[place])[group] > 1
-    if first:
-        settled = settled | ~new
-    else:
-        settled = (np.bincount(group, settled)[group] > 0) | several
-    return [x[place] for x in (anchor, content, did, dkey, start, windows, settled, new)]
+    return out, new, place
+
 
+def _cut(window: int, k: int, by_words: bool):
+    """One row for each content of a batch, with its first place and the number of its places, and one for each other place."""
 
-def _cut(window: int, k: int, by_words: bool, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -88,119 +110,180 @@ def _cut(window: int, k: int, by_words: bool, first: bool):
             if not len(start):
                 continue
             did, dkey = (batch.column(c).to_numpy()[doc] for c in ("did", "dkey"))
-            rows = _settle(anchor.view(np.int64), content.view(np.int64), did, dkey, start, windows, np.zeros(len(start), bool), first)
-            whole = ~rows.pop()
-            yield _batch(RUNS, *rows, whole)
+            columns, new, place = _in_order(anchor.view(np.int64), content.view(np.int64), did, dkey, start, windows)
+            columns, new = [x[place] for x in columns], new[place]
+            group = np.cumsum(new) - 1
+            places = np.bincount(group)[group]
+            spread = 1 << np.ceil(np.log2((places - 1) // EACH + 1)).astype(np.int64)
+            salt = hashing.mix(np.array([dkey[0]]).view(_U) ^ _U(batch.num_rows))[0] >> _U(1)
+            room = np.where(places > 1, _rooms(columns[0], columns[1], spread + salt.astype(np.int64) % spread), 0)
+            yield _batch(RUNS, *columns, np.where(new, places, 0), room)
 
     return run
 
 
-def _meet(first: bool):
+def _meet(wide_from: int, wait: int):
+    """From a partition in order of anchor: each content whose anchor has several places, with the rooms it is asked about in;
+    and each other place, with the room it waits in."""
+    none = lambda n: pa.nulls(n, pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _columns(batches)
-        if rows is None:
-            return
-        whole = rows.pop().astype(bool)
-        rows[6] = rows[6].astype(bool)
-        done = [x[whole] for x in rows]
-        anchor, _, did, dkey, start, windows, settled, new = _settle(*(x[~whole] for x in rows), first)
-        n = len(done[0])
-        no = np.zeros(n, bool)
-        yield _batch(FOUND, done[2], done[3], done[4], done[5], no, done[0], ~no, no)
-        if not len(anchor):
-            return
-        edge = groups_of(anchor)
-        contents = np.repeat(np.add.reduceat(new.astype(np.int64), edge[:-1]), np.diff(edge))
-        ask = new & (contents > 1)
-        keep = settled & ~(first & new)
-        no = np.zeros(int(keep.sum()), bool)
-        yield _batch(FOUND, did[keep], dkey[keep], start[keep], windows[keep], no, anchor[keep], ~no, no)
-        yes = np.ones(int(ask.sum()), bool)
-        yield _batch(FOUND, did[ask], dkey[ask], start[ask], windows[ask], yes, anchor[ask], settled[ask], contents[ask] > WIDE)
+        for rows in _chunks(batches, "anchor", lambda held: sum(b.num_rows for b in held) >= ROWS):
+            columns = [c.to_numpy() for c in rows.columns]
+            waits = columns[6] == 0
+            _, content, did, dkey, start, windows, places, room = (x[waits] for x in columns)
+            yield _batch(FOUND, did, dkey, start, windows, content, room, places, none(len(did)), np.zeros(len(did), bool))
+            anchor, content, did, dkey, start, windows, places, room = (x[~waits] for x in columns)
+            if not len(anchor):
+                continue
+            # of rows of one place (repeated documents), that with the most places in its batch comes first
+            (anchor, content, did, dkey, start, windows, places, room, _), new, place = _in_order(anchor, content, did, dkey, start, windows, places, room, -places)
+            group = np.cumsum(new) - 1
+            total = np.bincount(group[place], places[place])
+            edge = groups_of(anchor)
+            family = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            contents = np.add.reduceat(new.astype(np.int64), edge[:-1])[family]
+            other = place & ~new
+            waiting = np.add.reduceat(other.astype(np.int64), edge[:-1])[family]
+            wide = contents > wide_from
+            shared = (contents > 1) & ~wide  # the anchor has a room
+            first = np.flatnonzero(new)[group]
+            number = np.cumsum(other) - np.cumsum(other)[first] - 1
+            own = _rooms(anchor, content, (1 << 40) + np.maximum(number, 0) // wait)
+            stay = np.where(shared & (waiting <= wait), anchor, own)
+            yield _batch(FOUND, did[other], dkey[other], start[other], windows[other], content[other], stay[other], np.zeros(int(other.sum()), np.int32), none(int(other.sum())), np.zeros(int(other.sum()), bool))
+            asked = new & ((contents > 1) | (total[group] > 1))
+            where = np.concatenate((np.flatnonzero(new & shared), np.flatnonzero(places > 1), np.flatnonzero(other)))
+            kind = np.repeat([0, 1, 2], [int((new & shared).sum()), int((places > 1).sum()), int(other.sum())])
+            rooms = np.where(kind == 0, anchor[where], np.where(kind == 1, room[where], stay[where]))
+            by = np.lexsort((rooms, group[where]))
+            owner, rooms = group[where][by], rooms[by]
+            once = np.ones(len(by), bool)
+            once[1:] = (owner[1:] != owner[:-1]) | (rooms[1:] != rooms[:-1])
+            counts = np.bincount(owner[once], minlength=len(total))[group[asked]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(rooms[once]))
+            yield _batch(FOUND, did[asked], dkey[asked], start[asked], windows[asked], content[asked], anchor[asked], np.minimum(total[group[asked]], 1 << 30).astype(np.int32), lists, wide[asked])
 
     return run
 
 
 def _fetch(window: int, by_words: bool):
+    """The texts that are asked about, once for each room. Windows of wide anchors have rooms of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch.column("text"), [batch.column(c).to_pylist() for c in ("did", "dkey")]
-            out: list[list] = [[] for _ in range(7)]
-            asked = batch.column("asked")
+            out: list[list] = [[] for _ in range(8)]
+            held, asked = 0, batch.column("asked")
             for i in range(batch.num_rows):
                 body = (texts[i].as_py() or "").encode()
+                begin = end = None
                 if by_words:
                     _, begin, end, _ = hashing.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
                 for x in asked[i].as_py():
                     start, windows = x["start"], x["windows"]
-                    for s, w in ((start, windows),) if not x["wide"] else ((start + j, 1) for j in range(windows)):
-                        piece = body[begin[s] : end[s + w + window - 2]] if by_words else body[s : s + w + window - 1]
-                        anchor = x["anchor"]
-                        if x["wide"]:
-                            part = np.frombuffer(b" ".join(piece.split()) if by_words else piece, np.uint8)
-                            anchor = int(hashing.mix(hashing.runs(hashing.TABLE[part], len(part))[:1]).view(np.int64)[0])
-                        for column, value in zip(out, (anchor, keys[0][i], keys[1][i], s, w, x["settled"], piece), strict=True):
+                    piece = body[begin[start] : end[start + windows + window - 2]] if by_words else body[start : start + windows + window - 1]
+                    rows = [(room, start, windows, piece) for room in x["rooms"]]
+                    if x["wide"]:
+                        for s in range(start, start + windows):
+                            part = body[begin[s] : end[s + window - 1]] if by_words else body[s : s + window]
+                            code = np.frombuffer(b" ".join(part.split()) if by_words else part, np.uint8)
+                            rows.append((int(hashing.mix(hashing.runs(hashing.TABLE[code], len(code))[:1]).view(np.int64)[0]), s, 1, part))
+                    for room, s, w, part in rows:
+                        held += len(part)
+                        for column, value in zip(out, (room, x["content"], keys[0][i], keys[1][i], s, w, x["places"], part), strict=True):
                             column.append(value)
-                    if len(out[0]) > 20000:
+                    if held > 8 * SHARD:
                         yield _batch(PIECES, *out)
-                        out = [[] for _ in range(7)]
+                        out, held = [[] for _ in range(8)], 0
             yield _batch(PIECES, *out)
 
     return run
 
 
-def _index(find: Callable[[list[bytes], int], list[np.ndarray]], window: int, first: bool):
-    """find(texts, window) gives the windows of each text that are repeats. Texts come in order of document and place."""
+def _spans(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of consecutive numbers."""
+    if not len(hits):
+        return hits, hits
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(hits) != 1) + 1, [len(hits)]))
+    return hits[edges[:-1]], np.diff(edges)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _columns(batches)
-        if rows is None:
-            return
-        anchor, did, dkey, start, windows, settled, body = rows
-        order = np.argsort(anchor, kind="stable")
-        size = np.cumsum([len(x) for x in body[order]])
-        edges, at = groups_of(anchor[order]), 0
-        while at < len(edges) - 1:
-            base = size[edges[at] - 1] if edges[at] else 0
-            to = max(at + 1, int(np.searchsorted(size[edges[1:] - 1], base + SHARD, "right")))
-            mine = order[edges[at] : edges[to]]
-            at = to
-            mine = mine[np.lexsort((start[mine], dkey[mine], did[mine]))]
-            same = (did[mine[1:]] == did[mine[:-1]]) & (dkey[mine[1:]] == dkey[mine[:-1]]) & (start[mine[1:]] == start[mine[:-1]])
-            mine = mine[np.concatenate(([True], ~same))]  # rows of one document, repeated
-            out: list[list] = [[], [], [], []]
-            for i, hits in zip(mine.tolist(), find([body[i] for i in mine], window), strict=True):
-                if len(hits) and not settled[i]:
-                    for a, b in zip(*_spans(hits), strict=True):
-                        for column, value in zip(out, (did[i], dkey[i], start[i] + a, b - a), strict=True):
-                            column.append(value)
-            yield _batch(SPANS, *(np.array(x, np.int64) for x in out))
 
-    return run
+def _index(find: Find, window: int, first: bool):
+    """From a partition in order of room, texts before the places that wait for them: the repeated windows of both."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(batches, "room", lambda held: sum(b.num_rows for b in held) >= ROWS or sum(b.column("body").nbytes for b in held) >= SHARD):
+            yield from _answered(rows, find, window, first)
 
-def _spans(hits: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of the runs of consecutive numbers."""
-    breaks = np.flatnonzero(np.diff(hits) != 1)
-    return hits[np.concatenate(([0], breaks + 1))].tolist(), (hits[np.concatenate((breaks, [len(hits) - 1]))] + 1).tolist()
+    return run
 
 
-def repeats(docs: DataFrame, find: Callable[[list[bytes], int], list[np.ndarray]], window: int, k: int, by_words: bool, first: bool) -> DataFrame:
-    """did, dkey, text and the repeated windows of each document, as runs: spans array<struct<start, windows>>, null if none.
+def _answered(rows: pa.Table, find: Find, window: int, first: bool) -> Iterator[pa.RecordBatch]:
+    room, content, did, dkey, start, windows, places = (rows.column(c).to_numpy() for c in rows.column_names[:7])
+    text = np.flatnonzero(places > 0)
+    order = text[np.lexsort((start[text], dkey[text], did[text], room[text]))]
+    again = (room[order[1:]] == room[order[:-1]]) & (did[order[1:]] == did[order[:-1]]) & (dkey[order[1:]] == dkey[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
+    order = order[np.concatenate((np.ones(min(1, len(order)), bool), ~again))]  # a document's rows may be repeated
+    bodies = [x.as_py() for x in rows.column("body").combine_chunks().take(pa.array(order))]
+    size, room_edges, at = np.cumsum([0, *map(len, bodies)]), groups_of(room[order]), 0
+    often_at, often_n, texts_of, late_out = [], [], [], []
+    while at < len(room_edges) - 1:
+        to = max(at + 1, int(np.searchsorted(size[room_edges[1:]], size[room_edges[at]] + SHARD, "right")))
+        a, b = int(room_edges[at]), int(room_edges[to])
+        at, mine = to, order[a:b]
+        by = np.lexsort((start[mine], dkey[mine], did[mine]))
+        step = np.zeros(len(mine), np.int64)
+        step[1:] = (did[mine][by][1:] != did[mine][by][:-1]) | (dkey[mine][by][1:] != dkey[mine][by][:-1]) | (start[mine][by][1:] != start[mine][by][:-1])
+        ranks = np.empty(len(mine), np.int64)
+        ranks[by] = np.cumsum(step)
+        for i, (often, late) in zip(range(a, b), find(bodies[a:b], places[mine].astype(np.int64), ranks, window), strict=True):
+            for hits, kept in ((often, True), (late if first else often, False)):
+                s, n = _spans(hits)
+                if kept:
+                    often_at.append(s)
+                    often_n.append(n)
+                    texts_of.append(np.full(len(s), i))
+                elif len(s):
+                    late_out.append((np.full(len(s), order[i]), s, n))
+    if late_out:
+        i, s, n = (np.concatenate(x) for x in zip(*late_out, strict=True))
+        yield _batch(SPANS, did[i], dkey[i], start[i] + s, n)
+    wait = np.flatnonzero(places == 0)
+    if not len(wait):
+        return
+    key = lambda i: hashing.mix(room[i].view(_U) + hashing.mix(content[i].view(_U)))
+    mine = key(order)
+    by = np.argsort(mine, kind="stable")
+    at = by[np.minimum(np.searchsorted(mine[by], key(wait)), len(by) - 1)]
+    assert (room[order[at]] == room[wait]).all() and (content[order[at]] == content[wait]).all(), "a place waits for a text that did not come"
+    owner, s, n = (np.concatenate(x) for x in (texts_of, often_at, often_n))
+    count = np.bincount(owner, minlength=len(order))
+    begin = np.cumsum(count) - count
+    many = count[at]
+    span = np.repeat(begin[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+    i = np.repeat(wait, many)
+    yield _batch(SPANS, did[i], dkey[i], start[i] + s[span], n[span])
+
+
+def repeats(docs: DataFrame, find: Find, window: int, k: int, by_words: bool, first: bool) -> DataFrame:
+    """did, dkey, text, row and the repeated windows of each document, as runs: spans array<struct<start, windows>>, null if none.
 
     first: a window counts as repeated only if it also starts earlier, by document (id, then key) and place; otherwise if
     it also starts anywhere else. Documents equal in id and text are one, and each of their rows comes out.
     """
     docs = with_key(docs)
-    cut = docs.where("text is not null").mapInArrow(_cut(window, k, by_words, first), RUNS)
-    # settled rows are dealt out by place, so that a run that many documents hold doesn't meet in one task
-    met = staged(cut.repartition(F.when(F.col("whole"), F.xxhash64("did", "dkey", "start")).otherwise(F.col("anchor"))).mapInArrow(_meet(first), FOUND), "runs")
-    asked = met.where("ask").groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows", "anchor", "settled", "wide")).alias("asked"))
-    pieces = docs.join(asked.hint("shuffle_hash"), ["did", "dkey"]).mapInArrow(_fetch(window, by_words), PIECES)
-    indexed = pieces.repartition("anchor").mapInArrow(_index(find, window, first), SPANS)
-    spans = met.where("not ask").select("did", "dkey", "start", "windows").unionByName(indexed)
+    cut = docs.where("text is not null").mapInArrow(_cut(window, k, by_words), RUNS)
+    # places that wait are dealt out by place, so that a run that many documents hold doesn't meet in one task
+    dealt = cut.repartition(F.when(F.col("places") == 0, F.xxhash64("did", "dkey", "start")).otherwise(F.col("anchor")))
+    met = staged(dealt.sortWithinPartitions("anchor").mapInArrow(_meet(WIDE, WAIT), FOUND), "runs")
+    asked = met.where("rooms is not null").groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows", "content", "places", "rooms", "wide")).alias("asked"))
+    pieces = docs.join(asked, ["did", "dkey"]).select("did", "dkey", "text", "asked").mapInArrow(_fetch(window, by_words), PIECES)
+    waiting = met.where("rooms is null").select("room", "content", "did", "dkey", "start", "windows", "places", F.lit(None).cast("binary").alias("body"))
+    rooms = pieces.unionByName(waiting).repartition("room").sortWithinPartitions("room", F.desc("places"))
+    spans = rooms.mapInArrow(_index(find, window, first), SPANS)
     spans = spans.groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return docs.join(spans.hint("shuffle_hash"), ["did", "dkey"], "left")
+    return docs.join(spans, ["did", "dkey"], "left")
 
 
 def covered(spans: list | np.ndarray | None, window: int) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .fm_index import earlier_windows
+from .fm_index import word_repeats
 from .spans import covered, repeats
 
 #: Words of a window, and of the minimizer by which windows meet.
@@ -56,7 +56,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int | Non
     the order of a hash of the text. Empty table: empty result.
     """
     gram = gram or min(GRAM, window)
-    found = repeats(docs, earlier_windows, window, gram, True, True)
+    found = repeats(docs, word_repeats, window, gram, True, True)
     rows = found.select("row", "text", "spans")
     return rows.mapInArrow(_cut(window), T.StructType([rows.schema["row"], rows.schema["text"], *ADDED]))
 

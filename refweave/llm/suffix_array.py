@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import hashing
-
 _U = np.uint64
 
 
@@ -121,65 +119,63 @@ def suffix_array(text: np.ndarray, keys: Keys | None = None, depth: int | None =
     return np.concatenate(out)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, left: np.ndarray, depth: int | None = None) -> np.ndarray:
+def common_prefixes(keys: Keys, order: np.ndarray, left: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Common prefix of each suffix in order and the one before it, within one text; left: symbols up to each text's end.
     With a depth, those that don't reach it may be given too small.
 
-    Hashes of 1, 2, 4, ... symbols at each place tell in as many steps how far two suffixes agree.
+    The symbols themselves are compared, as many at a time as a key packs.
     """
     ends = np.minimum(left[order], np.append(0, left[order[:-1]]))
     out = np.zeros(len(order), np.int64)
-    most = int(ends.max(initial=0)) if depth is None else depth
-    live = np.flatnonzero(ends > 0) if depth is None else np.flatnonzero(ends >= depth)
-    if not most or not len(live):
-        return out
-    hashes = [hashing.TABLE[text & 255] ^ text.astype(_U)]
-    while 2 << len(hashes) - 1 <= most:
-        width, last = 1 << len(hashes) - 1, hashes[-1]
-        double = last.copy()
-        double[:-width] += last[width:] * _U(pow(hashing.BASE, width, 1 << 64))
-        hashes.append(double)
-    for step in reversed(range(len(hashes))):
-        width = 1 << step
-        a, b = order[live - 1] + out[live], order[live] + out[live]
-        same = (out[live] + width <= ends[live]) & (hashes[step][np.minimum(a, len(text) - 1)] == hashes[step][np.minimum(b, len(text) - 1)])
-        out[live[same]] += width
+    live = np.flatnonzero(ends >= (1 if depth is None else depth))
+    done, most = 0, int(ends.max(initial=0)) if depth is None else depth
+    while len(live) and done < most:
+        differ = keys.at(order[live - 1] + done) ^ keys.at(order[live] + done)
         if depth is not None:
-            live = live[out[live] + width > depth]  # with all the smaller steps to come
-    return out
-
-
-def _shared(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array; where in it a suffix shares a window with the one before it; where each text starts."""
+            beyond = max(0, done + keys.width - depth)
+            same = differ >> _U(keys.bits * beyond) == 0
+            out[live[same]] = min(depth, done + keys.width)
+        else:
+            same = differ == 0
+            agree = np.zeros(len(live), np.int64)
+            for j in range(1, keys.width + 1):
+                agree += differ >> _U(keys.bits * (keys.width - j)) == 0
+            out[live] = done + agree
+        live = live[same]
+        done += keys.width
+    return np.minimum(out, ends)
+
+
+def _shared(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array; where in it a suffix shares a window with the one before it; which suffixes hold a window; where each text starts."""
     text, first = join(texts)
     keys = Keys(text)
     order = suffix_array(text, keys, window)
     ends = np.flatnonzero(text == 1)
     left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
-    return order, common_prefixes(text, order, left, window) >= window, first
-
-
-def _by_text(places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    places = np.sort(places)
-    owner = np.searchsorted(first, places, "right") - 1
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(first)
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])) if len(owner) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        out[owner[a]] = places[a:b] - first[owner[a]]
-    return out
-
-
-def repeated_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each text, the starts of the strings of `window` bytes that also start anywhere else in these texts."""
-    order, shared, first = _shared(texts, window)
-    hit = shared.copy()
-    hit[:-1] |= shared[1:]
-    return _by_text(order[hit], first)
-
-
-def first_windows_kept(texts: list[bytes], window: int) -> list[np.ndarray]:
-    """For each text, the starts of the strings of `window` bytes that also start earlier: in an earlier text, or further left."""
-    order, shared, first = _shared(texts, window)
+    return order, common_prefixes(keys, order, left, window) >= window, left[order] >= window, first
+
+
+def byte_repeats(texts: list[bytes], places: np.ndarray, ranks: np.ndarray, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the starts of the strings of `window` bytes that occur more than once, and of those of them that a text of a
+    lower rank holds too or that stand further left in the same one. A text occurs as often as it has places."""
+    if not texts:
+        return []
+    order, shared, fits, first = _shared(texts, window)
+    owner = np.searchsorted(first, order, "right") - 1
+    # neighbours that share a window are one string
+    heads = np.flatnonzero(~shared)
     group = np.cumsum(~shared) - 1
-    least = np.minimum.reduceat(order, np.flatnonzero(~shared)) if len(order) else order
-    return _by_text(order[order > least[group]], first)
+    often = fits & (np.add.reduceat(places[owner], heads)[group] > 1)
+    late = often & (np.minimum.reduceat(ranks[owner], heads)[group] < ranks[owner])
+    # further left in one text: all of a text's own places but the leftmost
+    mine = np.flatnonzero(often & (np.bincount(group)[group] > 1))
+    by = mine[np.lexsort((order[mine], owner[mine], group[mine]))]
+    again = (group[by[1:]] == group[by[:-1]]) & (owner[by[1:]] == owner[by[:-1]])
+    late[by[1:][again]] = True
+    out = []
+    for hit in (often, late):
+        at = np.sort(order[hit])
+        edges = np.searchsorted(at, np.append(first, at[-1] + 1 if len(at) else 0))
+        out.append([at[a:b] - f for a, b, f in zip(edges[:-1], edges[1:], first, strict=True)])
+    return list(zip(*out, strict=True))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .common import table
 from .spans import covered, repeats
-from .suffix_array import first_windows_kept, repeated_windows
+from .suffix_array import byte_repeats
 
 #: Bytes of a window, and of the minimizer by which windows meet.
 WINDOW, GRAM = 200, 64
@@ -54,7 +54,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | Non
     the text. Empty table: empty result.
     """
     gram = gram or min(GRAM, window)
-    found = repeats(docs, first_windows_kept if keep_first else repeated_windows, window, gram, False, keep_first)
+    found = repeats(docs, byte_repeats, window, gram, False, keep_first)
     rows = found.select("row", "text", "spans")
     kept = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
     return rows.mapInArrow(_cut(window, as_text), T.StructType([rows.schema["row"], rows.schema["text"], kept, *ADDED]))

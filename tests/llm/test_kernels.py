@@ -1,9 +1,10 @@
 """The numpy kernels against brute force on random small inputs."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from refweave.llm import fm_index, hashing, packing, sharding, suffix_array
 from refweave.llm.t_occurrence import Lists
 
@@ -59,38 +60,42 @@ def test_suffix_array_and_prefixes():
         assert order.tolist() == sorted(range(len(plain)), key=lambda i: plain[i:])
         ends = np.flatnonzero(text == 1)
         left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
-        got = suffix_array.common_prefixes(text, order, left)
+        got = suffix_array.common_prefixes(suffix_array.Keys(text), order, left)
         for i in range(1, len(order)):
             a, b, n = order[i - 1], order[i], 0
             while n < min(left[a], left[b]) and plain[a + n] == plain[b + n]:
                 n += 1
             assert got[i] == n
-        w = rng.randint(2, 6)
-        counts = Counter(x[i : i + w] for x in texts for i in range(len(x) - w + 1))
-        assert [x.tolist() for x in suffix_array.repeated_windows(texts, w)] == [[i for i in range(len(x) - w + 1) if counts[x[i : i + w]] > 1] for x in texts]
-        seen, late = set(), []
-        for x in texts:
-            late.append([])
-            for i in range(len(x) - w + 1):
-                if x[i : i + w] in seen:
-                    late[-1].append(i)
-                seen.add(x[i : i + w])
-        assert [x.tolist() for x in suffix_array.first_windows_kept(texts, w)] == late
-
-
-def test_fm_index_finds_earlier_windows():
+
+
+def _plain_repeats(texts, places, ranks, w):
+    """Texts are sequences of items; the windows that occur more than once, and those of them that occur earlier."""
+    counts, found = Counter(), defaultdict(set)
+    for i, x in enumerate(texts):
+        for j in range(len(x) - w + 1):
+            counts[tuple(x[j : j + w])] += places[i]
+            found[tuple(x[j : j + w])].add((ranks[i], i, j))
+    out = []
+    for i, x in enumerate(texts):
+        often = [j for j in range(len(x) - w + 1) if counts[tuple(x[j : j + w])] > 1]
+        out.append((often, [j for j in often if any(r < ranks[i] or (h == i and k < j) for r, h, k in found[tuple(x[j : j + w])])]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bytes", "words"])
+def test_indexes_find_repeats(kind):
     rng = random.Random(2)
-    for _ in range(150):
-        texts = [b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 8))]
-        w, seen, late = rng.randint(2, 6), set(), []
-        for x in texts:
-            words = x.split()
-            late.append([])
-            for i in range(len(words) - w + 1):
-                if tuple(words[i : i + w]) in seen:
-                    late[-1].append(i)
-                seen.add(tuple(words[i : i + w]))
-        assert [x.tolist() for x in fm_index.earlier_windows(texts, w)] == late
+    find = suffix_array.byte_repeats if kind == "bytes" else fm_index.word_repeats
+    for trial in range(200):
+        if kind == "bytes":
+            texts = [bytes(rng.choice(b"ab" if trial % 2 else b"abcd\xff\x00") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 8))]
+        else:
+            texts = [b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 8))]
+        n, w = len(texts), rng.randint(2, 6)
+        places, ranks = np.array([rng.choice([1, 1, 1, 3]) for _ in texts]), np.array(rng.sample(range(n), n) if trial % 3 else [rng.randrange(n) for _ in texts])
+        plain = [list(t) for t in texts] if kind == "bytes" else [t.split() for t in texts]
+        assert [(a.tolist(), b.tolist()) for a, b in find(texts, places, ranks, w)] == _plain_repeats(plain, places.tolist(), ranks.tolist(), w)
+    assert find([], np.zeros(0, np.int64), np.zeros(0, np.int64), 5) == []
 
 
 def test_matching_statistics():

@@ -58,9 +58,11 @@ def keyed(found, *columns):
     return out
 
 
-@pytest.mark.parametrize("window,wide", [(20, 4096), (4, 4096), (4, 1)])
-def test_substring_dedup(docs, window, wide, monkeypatch):
+@pytest.mark.parametrize("window,wide,each", [(20, 4096, 8), (4, 4096, 8), (4, 1, 1)])
+def test_substring_dedup(docs, window, wide, each, monkeypatch):
     monkeypatch.setattr(spans, "WIDE", wide)
+    monkeypatch.setattr(spans, "EACH", each)
+    monkeypatch.setattr(spans, "WAIT", each)
     got = keyed(substring_dedup.remove_repeated_words(docs, window), "kept", "n_words", "n_removed")
     seen, count = set(), 0
     for did, dkey, text in documents(docs):
@@ -94,6 +96,17 @@ def test_suffix_dedup(docs, window, first):
     assert sum(map(len, got.values())) == docs.count()
 
 
+@pytest.mark.parametrize("remove,module,name", [(substring_dedup.remove_repeated_words, substring_dedup, "word_repeats"), (suffix_dedup.remove_repeated_bytes, suffix_dedup, "byte_repeats")])
+def test_all_repeats_come_from_the_index(docs, monkeypatch, remove, module, name):
+    """With an index that finds nothing, nothing is removed: hashes only deal texts out."""
+    assert remove(docs).agg(F.sum("n_removed")).first()[0] > 0
+    import numpy as np
+
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(module, name, lambda texts, places, ranks, window: [(none, none) for _ in texts])
+    assert remove(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def _shingles(text, n):
     words = ((text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))).split()
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
