@@ -1,21 +1,25 @@
 """Operator 7, sharding: best-fit-decreasing bin packing of indivisible groups into shards of equal size.
 
-Rows of equal text form a group. Groups larger than one UNITS-th of everything (there can be no more than UNITS of them)
-are units of their own; the others are gathered by hash into UNITS parcels, which never part a group. So the driver
-packs at most 2 * UNITS units, however many groups there are: largest first, each into the shard with the tightest room
-that holds it, found in a balanced tree of rooms; the capacity is the least with which that takes no more than the wanted shards.
-Slots are numbered without gathering a shard anywhere: units have their places from the packing, a unit's rows are counted
-in cells of about CELL rows, and only a cell's rows are sorted.
+Rows of equal text form a group. Only the histogram of group sizes decides how groups are packed: largest first, each into
+the shard with the tightest room that holds it, found in a balanced tree of rooms; groups of one size are placed at once, just as
+one by one. The capacity is the least found with which that takes no more than the wanted shards. The histogram's
+sizes differ, and their sum is at most all bytes B, so it has no more than about sqrt(2 B ln B) rows (a few 10^7 for 100 TB, and
+thousands in practice): the driver's part follows that, not the number of groups.
+Groups then look up where their rank among those of their size goes, and rows their place in their group. Nothing is
+gathered for that: sizes, and groups, with more than a cell's rows are counted in cells, and only a cell's rows are sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ordered_id, staged, table
 
-SHARDS, UNITS, CELL = 8, 4096, 20_000
+#: Cells have about CELL rows; where more than LARGE sizes or groups would be larger, as many as leaves LARGE of them.
+SHARDS, CELL, LARGE = 8, 20_000, 4096
+GROUP = ["g", "size", "text_crc32"]
 
 
 class RoomTree:
@@ -72,68 +76,104 @@ class RoomTree:
         return key
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> tuple[list[int], int] | None:
-    """The shard of each unit (sizes are in falling order) and the number of shards; None if it takes more than most."""
+def best_fit_decreasing(sizes: list[int], counts: list[int], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int]], int] | None:
+    """For groups of sizes (falling), counts of each: rows (index of the size, shard, how many groups), in the order in which groups
+    are placed, and the number of shards; None if it takes more than most.
+
+    A shard that took a group has less room than before, so it stays the tightest as long as another one fits: it takes
+    all of them at once."""
     tree, shards, out = RoomTree(), 0, []
-    for size in sizes:
-        found = tree.take(size)
-        if found is None:
-            if shards == most or size > capacity:
-                return None
-            found = (capacity, shards)
-            shards += 1
-        out.append(found[1])
-        tree.add(found[0] - size, found[1])
+    for i, (size, left) in enumerate(zip(sizes, counts, strict=True)):
+        while left:
+            found = tree.take(size)
+            if found is None:
+                if shards == most or size > capacity:
+                    return None
+                found = (capacity, shards)
+                shards += 1
+            room, to = found
+            n = min(left, room // size)
+            out.append((i, to, n))
+            tree.add(room - n * size, to)
+            left -= n
     return out, shards
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each unit, with the least capacity found by bisection with which best fit takes no more than shards."""
-    low, high = max(sizes[0], -(-sum(sizes) // shards)) if sizes else 0, sum(sizes)
-    best = [0] * len(sizes)
-    while low <= high:
+def pack_into(sizes: list[int], counts: list[int], shards: int) -> list[tuple[int, int, int]]:
+    """best_fit_decreasing's rows at the least capacity found that takes no more than shards: from the mean up in growing steps, then by bisection."""
+    if not sizes:
+        return []
+    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
+    low = at = max(sizes[0], -(-total // shards))
+    best, step = None, 1
+    while best is None:
+        best = best_fit_decreasing(sizes, counts, at, shards)
+        if best is None:
+            low, at, step = at + 1, at + step, step * 2
+    high = at
+    while low < high:
         middle = (low + high) // 2
-        found = best_fit_decreasing(sizes, middle, shards)
+        found = best_fit_decreasing(sizes, counts, middle, shards)
         if found:
-            best, high = found[0], middle - 1
+            best, high = found, middle
         else:
             low = middle + 1
-    return best
+    return best[0]
+
+
+def _cell(cells: Column, *by: str) -> Column:
+    return F.when(cells > 1, F.pmod(F.xxhash64(*by, F.lit(7)), cells)).otherwise(F.lit(0)).cast("int")
+
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, cell, before: how many rows of the same keys lie in lower cells."""
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.groupBy(*keys, "cell").count().select(*keys, "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
 
-def shard(docs: DataFrame, shards: int = SHARDS, units: int = UNITS) -> DataFrame:
+
+def shard(docs: DataFrame, shards: int = SHARDS, cell: int = CELL) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 1), text_crc32, shard (0 to shards - 1), slot (from 0, without gaps in a shard).
 
     Rows of equal text stay together; null counts as the empty text, of size 1 and crc32 0. Sizes of shards are as
-    equal as groups allow. Rows equal in all columns get slots of their own; rows without doc_id come last in their
-    cell. Other columns are ignored. Empty table: empty result.
+    equal as best fit makes them. Rows equal in all columns get slots of their own; rows without doc_id come last in their
+    group or cell. Other columns are ignored, whatever their names. Empty table: empty result.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g")), "rows")
-    groups = rows.groupBy("g", "size", "text_crc32").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    large = groups.where(F.col("bytes") > F.lit(total // units)).select("g", "size", "text_crc32", "n", "bytes").collect()  # at most units rows
-    small = F.pmod(F.xxhash64("g", "size"), F.lit(units)).cast("int")
-    parcels = groups.where(F.col("bytes") <= F.lit(total // units)).groupBy(small.alias("unit")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()  # at most units rows
-    named = [(r["bytes"], r["n"], r["unit"]) for r in parcels] + [(r["bytes"], r["n"], units + i) for i, r in enumerate(sorted(large, key=lambda r: (r["g"], r["size"], r["text_crc32"])))]
-    named.sort(key=lambda x: (-x[0], x[2]))
-    base, places = [0] * shards, []
-    for (_, n, unit), to in zip(named, pack_into([x[0] for x in named], shards), strict=True):
-        places.append((unit, to, base[to], -(-n // CELL)))
-        base[to] += n
-    spark = docs.sparkSession
-    placed = F.broadcast(spark.createDataFrame(places, "unit int, shard int, base long, cells int"))
-    keys = [(r["g"], r["size"], r["text_crc32"], units + i) for i, r in enumerate(sorted(large, key=lambda r: (r["g"], r["size"], r["text_crc32"])))]
-    own = F.broadcast(spark.createDataFrame(keys, "g long, size long, text_crc32 long, own int"))
-    rows = rows.join(own, ["g", "size", "text_crc32"], "left").withColumn("unit", F.coalesce("own", small)).join(placed, "unit")
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "g"), "cells").cast("int"))
-    before = Window.partitionBy("unit").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("unit", "cell").count().select("unit", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("unit", "cell").orderBy(ordered_id(F.col("doc_id")), "g")
-    rows = rows.withColumn("at", F.row_number().over(within) - 1).join(starts, ["unit", "cell"])
-    return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("start") + F.col("at")).alias("slot"))
+    groups = staged(rows.groupBy(*GROUP).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")), "groups")
+    found = groups.groupBy("bytes", "n").agg(F.count("*").alias("groups")).orderBy(F.desc("bytes"), "n").toArrow()
+    sizes, each, counts = (found.column(c).to_pylist() for c in ("bytes", "n", "groups"))
+    cell = max(cell, -(-sum(n * k for n, k in zip(each, counts, strict=True)) // LARGE))
+
+    base, ranks = [0] * shards, [0] * len(sizes)
+    plan: list[list[dict]] = [[] for _ in sizes]
+    for i, to, k in pack_into(sizes, counts, shards):
+        plan[i].append({"rank": ranks[i], "shard": to, "base": base[to]})
+        base[to] += each[i] * k
+        ranks[i] += k
+    kind = pa.list_(pa.struct([("rank", pa.int64()), ("shard", pa.int32()), ("base", pa.int64())]))
+    parts = pa.table({"bytes": pa.array(sizes, pa.int64()), "n": pa.array(each, pa.int64()), "parts": pa.array(plan, kind)})
+    large = [(s, n, -(-k // cell)) for s, n, k in zip(sizes, each, counts, strict=True) if k > cell]  # LARGE at most, like the next
+    large = F.broadcast(spark.createDataFrame(large, "bytes long, n long, cells long"))
+
+    named = groups.join(large, ["bytes", "n"], "left").withColumn("cell", _cell(F.col("cells"), *GROUP))
+    places = _counted(named, "bytes", "n").join(staged(spark.createDataFrame(parts), "plan"), ["bytes", "n"])
+    at = F.col("before") + F.row_number().over(Window.partitionBy("bytes", "n", "cell").orderBy(*GROUP)) - 1
+    ranked = named.join(places, ["bytes", "n", "cell"]).select(*GROUP, "n", "parts", at.alias("at"))
+    part = F.element_at(F.filter("parts", lambda p: p["rank"] <= F.col("at")), -1)
+    placed = ranked.select(*GROUP, "n", "at", part.alias("p")).select(*GROUP, "n", F.col("p.shard").alias("shard"), (F.col("p.base") + (F.col("at") - F.col("p.rank")) * F.col("n")).alias("start"))
+    placed = staged(placed, "placed")
+
+    hot = placed.where(F.col("n") > cell).withColumn("cells", F.ceil(F.col("n") / cell))
+    dealt = rows.join(F.broadcast(hot.select(*GROUP, "cells")), GROUP, "left").withColumn("cell", _cell(F.col("cells"), "doc_id"))
+    starts = hot.join(F.broadcast(_counted(dealt.where("cells > 1"), *GROUP)), GROUP).select(*GROUP, "cell", "shard", (F.col("start") + F.col("before")).alias("start"))
+    starts = starts.unionByName(placed.where(F.col("n") <= cell).select(*GROUP, F.lit(0).alias("cell"), "shard", "start"))
+    slot = F.col("start") + F.row_number().over(Window.partitionBy(*GROUP, "cell").orderBy(ordered_id(F.col("doc_id")))) - 1
+    return dealt.join(starts, [*GROUP, "cell"]).select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of equal bytes; documents of equal text share a shard. Null ids and texts are sharded like others."""
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -181,12 +181,40 @@ def test_room_tree_gives_the_tightest_room():
                 plain.remove(want)
 
 
+def _best_fit_one_by_one(sizes, capacity):
+    rooms, load = [], []
+    for x in sizes:
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= x]
+        if not fits:
+            rooms.append(capacity)
+            load.append(0)
+            fits = [(capacity, len(rooms) - 1)]
+        _, i = min(fits)
+        rooms[i] -= x
+        load[i] += x
+    return load
+
+
+def test_best_fit_of_equal_sizes_at_once_is_that_of_one_by_one():
+    rng = random.Random(7)
+    for trial in range(300):
+        counts = Counter(rng.randint(1, 40) for _ in range(rng.randint(1, 80)))
+        sizes = sorted(counts, reverse=True)
+        capacity = rng.randint(40, 200)
+        rows, shards = sharding.best_fit_decreasing(sizes, [counts[s] for s in sizes], capacity)
+        load = [0] * shards
+        for i, to, n in rows:
+            load[to] += n * sizes[i]
+        assert load == _best_fit_one_by_one(sorted(counts.elements(), reverse=True), capacity)
+
+
 def test_shards_are_even():
     rng = random.Random(7)
-    sizes = sorted((rng.randint(1, 1000) for _ in range(2000)), reverse=True)
-    to = sharding.pack_into(sizes, 8)
+    counts = Counter(rng.randint(1, 1000) for _ in range(2000))
+    sizes = sorted(counts, reverse=True)
     load = [0] * 8
-    for s, t in zip(sizes, to, strict=True):
-        load[t] += s
-    assert max(load) - min(load) <= max(4, sum(sizes) // 8 // 100)
-    assert sharding.pack_into([], 8) == [] and sharding.pack_into([5], 8) == [0]
+    for i, to, n in sharding.pack_into(sizes, [counts[s] for s in sizes], 8):
+        load[to] += n * sizes[i]
+    assert sum(load) == sum(s * n for s, n in counts.items())
+    assert max(load) - min(load) <= 8
+    assert sharding.pack_into([], [], 8) == [] and sharding.pack_into([5], [1], 8) == [(0, 0, 1)]

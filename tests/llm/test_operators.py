@@ -166,8 +166,9 @@ def test_candidates_are_complete_on_random_sets():
                 assert jaccard_join.may_link(sizes, *jaccard_join._joined([jaccard_join.sketch(a), jaccard_join.sketch(b)]), np.array([0]), np.array([1]), percent).all()
 
 
-def test_sharding(docs):
-    out = sharding.shard(docs, 3, 8).collect()
+@pytest.mark.parametrize("cell", [20_000, 2])
+def test_sharding(docs, cell):
+    out = sharding.shard(docs, 3, cell).collect()
     assert len(out) == docs.count()
     by_shard, by_text = defaultdict(list), defaultdict(set)
     for r in out:
@@ -178,6 +179,15 @@ def test_sharding(docs):
     assert all(len(s) == 1 for s in by_text.values()) and set(by_shard) <= {0, 1, 2}
     want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+    groups = Counter(r["text"] or "" for r in docs.collect())
+    sizes = Counter((len(t.encode()) + 1) * n for t, n in groups.items())
+    falling, load = sorted(sizes, reverse=True), Counter()
+    for i, to, n in sharding.pack_into(falling, [sizes[s] for s in falling], 3):
+        load[to] += n * falling[i]
+    got = Counter()
+    for r in out:
+        got[r["shard"]] += r["size"]
+    assert got == load  # as plain best-fit decreasing loads them (test_kernels.py)
 
 
 @pytest.mark.parametrize("cell", [20_000, 2])
