@@ -4,7 +4,8 @@ A vector is cut into 1, 4 and 16 segments; of each segment only the mean and the
 a segment's part of the inner product is at most length * (mean * mean + deviation * deviation), which is the lower bound
 of the distance, written for products: |q - x|^2 = |q|^2 + |x|^2 - 2 qx. Coarse to fine, candidates whose bound is under
 the k-th best score so far are left out; the others are scored exactly.
-The queries go out in blocks of about BLOCK, whose size doesn't grow with the table; each task keeps k rows a query.
+Blocks of about BLOCK queries meet chunks of at most CHUNK candidates or so in a grid, of which a task holds one block, the k best
+of each of its queries, and TILE candidates at a time. Queries reach their tasks by a shuffle, never by the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ordered_id, table
+from .common import NO_ID, ordered_id, staged, table
 
-K, SCALE, LEVELS, BLOCK = 10, 1024, (1, 4, 16), 2048
-FOUND = "qid long, qkey long, vid long, score long"
+K, SCALE, LEVELS = 10, 1024, (1, 4, 16)
+BLOCK, CHUNK, TILE = 8192, 4_000_000, 256
+#: Share of a tile's pairs from which they are taken all together, as a matrix product; numbers gathered at a time for fewer.
+DENSE, GATHER = 1 / 16, 1 << 22
+FOUND = "qrow long, qid long, vid long, score long"
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -33,114 +37,151 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.column_stack(out)
 
 
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of a with rows j of b, a bounded part at a time."""
+    step = max(1, GATHER // a.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", a[i[s : s + step]], b[j[s : s + step]]) for s in range(0, len(i), step)] or [np.zeros(0)])
+
+
 class Queries:
-    """The queries of one length, with the k best candidates so far."""
+    """A block of queries of one length, with the k best candidates so far."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, levels: tuple[int, ...]):
-        self.ids, self.keys, self.x, self.k = ids, keys, x, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, levels: tuple[int, ...]):
+        self.rows, self.ids, self.x, self.k = rows, ids, x, k
         self.levels = [(s, statistics(x, s)) for s in levels]
-        self.norm = np.sqrt((x * x).sum(axis=1))
+        self.norm, self.most = np.sqrt((x * x).sum(axis=1)), np.abs(x).max(initial=0)
         none = np.zeros(0, np.int64)
         self.best = (none, none, none)  # query, candidate's id, score
         self.floor = np.full(len(ids), -np.inf)
 
-    def meet(self, vids: np.ndarray, x: np.ndarray) -> None:
+    def meet(self, rows: np.ndarray, vids: np.ndarray, x: np.ndarray) -> None:
+        """A tile of candidates: their rows, ids and vectors."""
         norm = np.sqrt((x * x).sum(axis=1))
-        live = None
+        slack = 1e-9 * (1 + self.norm[:, None] * norm[None, :])
+        live, pairs = self.rows[:, None] != rows[None, :], None
         for segments, stats in self.levels:
             own = statistics(x, segments)
-            slack = 1e-9 * (1 + self.norm[:, None] * norm[None, :]) if live is None else 1e-9 * (1 + self.norm[live[0]] * norm[live[1]])
-            if live is None:
-                live = np.nonzero((stats @ own.T + slack >= self.floor[:, None]) & (self.ids[:, None] != vids[None, :]))
+            if pairs is None:
+                live &= stats @ own.T + slack >= self.floor[:, None]
+                if live.sum() <= DENSE * live.size:
+                    pairs = np.nonzero(live)
+            else:
+                keep = _products(stats, own, *pairs) + slack[pairs] >= self.floor[pairs[0]]
+                pairs = pairs[0][keep], pairs[1][keep]
+        if self.most * np.abs(x).max(initial=0) * x.shape[1] < 2**53:
+            if pairs is None:
+                score = self.x @ x.T
+                score[~live] = -np.inf
+                if score.shape[1] > self.k:  # what k candidates of this tile beat can't be among the best
+                    self.floor = np.maximum(self.floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+                pairs = np.nonzero(live & (score >= self.floor[:, None]))
+                found = score[pairs].astype(np.int64)
             else:
-                keep = np.einsum("ij,ij->i", stats[live[0]], own[live[1]]) + slack >= self.floor[live[0]]
-                live = live[0][keep], live[1][keep]
-            if not len(live[0]):
-                return
-        q, c = live
-        if np.abs(self.x).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] < 2**53:
-            score = np.einsum("ij,ij->i", self.x[q], x[c]).astype(np.int64)
+                found = _products(self.x, x, *pairs).astype(np.int64)
         else:  # beyond what doubles hold exactly
-            exact = [sum(int(a) * int(b) for a, b in zip(self.x[i], x[j], strict=True)) for i, j in zip(q, c, strict=True)]
-            score = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
-        q, v, s = (np.concatenate(y) for y in zip(self.best, (q, vids[c], score), strict=True))
-        by = np.lexsort((v, -s.astype(object) if (s == -(2**63)).any() else -s, q))
+            pairs = np.nonzero(live) if pairs is None else pairs
+            exact = [sum(int(a) * int(b) for a, b in zip(self.x[i], x[j], strict=True)) for i, j in zip(*pairs, strict=True)]
+            found = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
+        self._add(pairs[0], vids[pairs[1]], found)
+
+    def _add(self, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
+        keep = s >= self.floor[q]
+        if not keep.any():
+            return
+        q, v, s = (np.concatenate((a, b[keep])) for a, b in zip(self.best, (q, v, s), strict=True))
+        by = np.lexsort((v, ~s, q))  # ~s falls as s rises, without overflow
         q, v, s = q[by], v[by], s[by]
-        first = np.searchsorted(q, q, "left")
-        top = np.arange(len(q)) - first < self.k
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        top = place < self.k
         self.best = q[top], v[top], s[top]
-        full = np.arange(len(q)) - first == self.k - 1
-        self.floor[q[full]] = s[full]
+        full = place == self.k - 1
+        self.floor[q[full]] = np.maximum(self.floor[q[full]], s[full])
+
+
+def _matrix(rows: pa.Table, scale: int) -> np.ndarray:
+    """Vectors of one length, as whole numbers."""
+    column = rows.column("x").combine_chunks()
+    return np.floor(scale * np.asarray(column.flatten()).astype(np.float64)).reshape(len(column), -1)
 
 
-def _vectors(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of each length and their vectors of whole numbers."""
-    column = batch.column("x")
-    flat, offsets = np.asarray(column.flatten()).astype(np.float64), np.asarray(column.offsets)
-    offsets = offsets - offsets[0]
-    sizes = np.diff(offsets)
-    for size in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == size)
-        yield rows, np.floor(scale * flat[(offsets[rows][:, None] + np.arange(size)).ravel()].reshape(len(rows), size))
+def _search(k: int, scale: int, levels: tuple[int, ...]):
+    """From a partition in order of cells (dim, block, chunk), queries first: the k best candidates of each query of a cell."""
+    cell_of = lambda rows, i: tuple(rows.column(c)[i].as_py() for c in ("dim", "block", "chunk"))
 
+    def found(queries: Queries | None) -> Iterator[pa.RecordBatch]:
+        if queries is not None:
+            q, v, s = queries.best
+            yield pa.RecordBatch.from_arrays([pa.array(queries.rows[q]), pa.array(queries.ids[q]), pa.array(v), pa.array(s)], ["qrow", "qid", "vid", "score"])
 
-def _search(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, scale: int, levels: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size = {x.shape[1]: Queries(ids, keys, x, k, levels) for ids, keys, x in queries}
+        cell, queries, held = None, None, []
         for batch in batches:
-            vids = batch.column("vid").to_numpy()
-            for rows, x in _vectors(batch, scale):
-                if x.shape[1] in by_size:
-                    for at in range(0, len(rows), 512):
-                        by_size[x.shape[1]].meet(vids[rows[at : at + 512]], x[at : at + 512])
-        for found in by_size.values():
-            q, v, s = found.best
-            yield pa.RecordBatch.from_arrays([pa.array(found.ids[q]), pa.array(found.keys[q]), pa.array(v), pa.array(s)], ["qid", "qkey", "vid", "score"])
+            if not batch.num_rows:
+                continue
+            code = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dim", "block", "chunk", "candidate")])
+            edges = np.concatenate(([0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1, [len(code)]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if cell_of(part, 0) != cell:
+                    yield from found(queries)
+                    cell, queries, held = cell_of(part, 0), None, []
+                if not code[a, 3]:
+                    held.append(part)
+                    continue
+                if held:
+                    mine, held = pa.concat_tables(held), []
+                    queries = Queries(mine.column("row").to_numpy(), mine.column("vid").to_numpy(), _matrix(mine, scale), k, levels)
+                if queries is not None:
+                    for at in range(0, part.num_rows, TILE):
+                        some = part.slice(at, TILE)
+                        queries.meet(some.column("row").to_numpy(), some.column("vid").to_numpy(), _matrix(some, scale))
+        yield from found(queries)
 
     return run
 
 
-def top_products(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def top_products(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, levels: tuple[int, ...] = LEVELS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors (vec_id, embedding) that is_query holds for, the k other
     rows of the largest inner product of floor(scale * component), ties to the smaller vec_id; all, if there are fewer.
 
-    Null and empty vectors, those with null or non-finite components, and rows without vec_id take no part. Rows that share
-    the query's vec_id are no candidates. Rows equal in vec_id and vector are one query; rows of one vec_id but other
-    vectors are queries of their own. Vectors of other lengths are no candidates. Sums beyond a long stay at its end.
-    Other columns are ignored. Empty table: empty result.
+    Null and empty vectors, and those with null or non-finite components, take no part. Rows without vec_id are
+    candidates, behind all others in ties. Each row is a query and a candidate of its own, also where rows share a vec_id or are equal: only
+    the query's own row is no candidate. Vectors of other lengths are no candidates. Sums beyond a long stay at its end.
+    Other columns are ignored, whatever their names. Empty table: empty result.
     """
+    spark = vectors.sparkSession
     fine = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull()).select(ordered_id(F.col("vec_id")).alias("vid"), F.col("embedding").alias("x"), is_query.alias("asks"))
-    rows = rows.where(F.col("x").isNotNull() & (F.size("x") > 0) & fine)
-    asks = rows.where("asks").select("vid", F.xxhash64("x").alias("qkey"), "x").dropDuplicates(["vid", "qkey"])
-    blocks = -(-asks.count() // BLOCK)
-    parts = []
-    for block in range(max(1, blocks)):
-        mine = asks.where(F.pmod(F.xxhash64("vid"), F.lit(max(1, blocks))) == block).toArrow().combine_chunks()
-        queries = []
-        for batch in mine.to_batches():
-            ids, keys = batch.column("vid").to_numpy(), batch.column("qkey").to_numpy()
-            queries += [(ids[r], keys[r], x) for r, x in _vectors(batch, scale)]
-        parts.append(rows.select("vid", "x").mapInArrow(_search(queries, k, scale, levels), FOUND))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("qid", "qkey").orderBy(F.desc("score"), "vid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", F.col("vid").alias("vec_id"), "score")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), ordered_id(F.col("vec_id")).alias("vid"), F.col("embedding").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = staged(rows.where(F.col("x").isNotNull() & (F.size("x") > 0) & fine).withColumn("dim", F.size("x")), "vectors")
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.when(F.col("asks"), 1)) / block).alias("blocks"), F.ceil(F.count("*") / chunk).alias("chunks"))
+    sizes = sizes.where("blocks > 0").withColumn("chunks", F.greatest("chunks", F.ceil(F.lit(tasks) / F.col("blocks"))))
+    dealt = rows.join(sizes, "dim")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)).alias(n[:-1])
+    of = lambda n: F.pmod(F.xxhash64("row", F.lit(n)), n).cast("int").alias(n[:-1])
+    asked = dealt.where("asks").select("dim", of("blocks"), numbers("chunks"), F.lit(False).alias("candidate"), "row", "vid", "x")
+    given = dealt.select("dim", numbers("blocks"), of("chunks"), F.lit(True).alias("candidate"), "row", "vid", "x")
+    cells = asked.unionByName(given).repartition(tasks, "dim", "block", "chunk").sortWithinPartitions("dim", "block", "chunk", "candidate")
+    found = cells.mapInArrow(_search(k, scale, levels), FOUND)
+    order = Window.partitionBy("qrow").orderBy(F.desc("score"), "vid")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias("query_id"), "rank", F.when(F.col("vid") < NO_ID, F.col("vid")).alias("vec_id"), "score")
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 rows of the largest products for each row of embeddings whose vec_id is divisible by 100; null vectors take no part."""
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 SQL = """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) <= 10
 """

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -311,16 +312,39 @@ def test_embedding_recall_on_the_given_table(spark):
     assert found["n_links"].sum() >= 0.95 * links.sum() and (found["n_links"].to_numpy() <= links).all()
 
 
-def test_exact_topk(vectors, monkeypatch):
-    monkeypatch.setattr(exact_topk, "BLOCK", 2)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_products(vectors, F.col("vec_id") % 20 == 0, k=4).collect())
-    rows = [(v, [math.floor(1024 * x) for x in e]) for v, e in hard_vectors() if v is not None and e and all(x is not None and math.isfinite(x) for x in e)]
-    want = []
-    for v, q in rows:
-        if v % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), w) for w, c in rows if w != v and len(c) == len(q))
-            want += [(v, i + 1, w, -s) for i, (s, w) in enumerate(scored[:4])]
-    assert got == sorted(want)
+@pytest.mark.parametrize("block,chunk,dense", [(8192, 4_000_000, 1 / 16), (2, 7, 0.0), (3, 100, 1.0)])
+def test_exact_topk(vectors, block, chunk, dense, monkeypatch):
+    monkeypatch.setattr(exact_topk, "DENSE", dense)
+    monkeypatch.setattr(exact_topk, "TILE", 5)
+    found = exact_topk.top_products(vectors, F.col("vec_id") % 20 == 0, k=4, block=block, chunk=chunk)
+    rows = [(v, [math.floor(1024 * x) for x in e]) for v, e in hard_vectors() if e and all(x is not None and math.isfinite(x) for x in e)]
+    want = Counter()
+    for i, (v, q) in enumerate(rows):
+        if v is not None and v % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), common.NO_ID if w is None else w) for j, (w, c) in enumerate(rows) if i != j and len(c) == len(q))
+            want.update((v, n + 1, None if w == common.NO_ID else w, -s) for n, (s, w) in enumerate(scored[:4]))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()) == want
+
+
+def test_exact_topk_leaves_out_the_own_row_alone(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (None, [5.0, 5.0]), (0, [3.0, 3.0]), (7, [1.0, 1.0]), (0, [3.0, 3.0])], "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"] >> 20) for r in exact_topk.top_products(rows, F.col("vec_id") % 100 == 0).collect())
+    first = [(0, 1, None, 15), (0, 2, 0, 9), (0, 3, 0, 9), (0, 4, 7, 3)]
+    again = [(0, 1, None, 30), (0, 2, 0, 18), (0, 3, 0, 9), (0, 4, 7, 6)]
+    assert got == Counter(first + again + again)
+
+
+def test_exact_topk_holds_a_block_in_little_memory():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.floor(1024 * rng.standard_normal((2048, 768)))
+    queries = exact_topk.Queries(np.arange(2048), np.arange(2048), x, 10, exact_topk.LEVELS)
+    tracemalloc.start()
+    queries.meet(np.arange(256) + 5000, np.arange(256), x[:256] + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
 
 
 def test_toxicity_folds_matches_and_spares():
