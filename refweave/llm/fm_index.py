@@ -84,17 +84,16 @@ class FMIndex:
         at = self.less[symbol] - self.base[symbol]
         return at + self.wavelet.down(symbol, low), at + self.wavelet.down(symbol, high)
 
-    def matching(self, text: np.ndarray, ends: np.ndarray, most: int, least: np.ndarray | int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matching(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a streamed text against the index: how far back from each end (up to most) what stands
-        there occurs at least `least` times in the index, and the suffix interval of those that reach most."""
+        there occurs at least twice in the index, and the suffix interval of those that reach most."""
         length = np.zeros(len(ends), np.int64)
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n)
         live = np.arange(len(ends))
-        least = np.broadcast_to(least, len(ends))
         for step in range(most):
             at = ends[live] - step
             a, b = self.extend(text[at], low[live], high[live])
-            go = (b - a >= least[live]) & (text[at] > 0)
+            go = (b - a >= 2) & (text[at] > 0)
             live, a, b = live[go], a[go], b[go]
             low[live], high[live] = a, b
             length[live] = step + 1
@@ -121,8 +120,7 @@ def word_repeats(texts: list[bytes], places: np.ndarray, ranks: np.ndarray, wind
     counts = np.maximum(lengths - window + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(counts)))[:-1], counts)
-    # a text of several places occurs more than once by itself
-    length, low, high = index.matching(text, place + first[owner] + window - 1, window, np.where(places[owner] > 1, 1, 2))
+    length, low, high = index.matching(text, place + first[owner] + window - 1, window)
     hit = np.flatnonzero(length == window)
     late = np.zeros(len(hit), bool)
     if len(hit):
@@ -137,5 +135,7 @@ def word_repeats(texts: list[bytes], places: np.ndarray, ranks: np.ndarray, wind
         again = np.zeros(len(hit), bool)
         again[by[1:]] = (where[by[1:]] == where[by[:-1]]) & (owner[hit][by[1:]] == owner[hit][by[:-1]])
         late |= again
-    edges = np.searchsorted(owner[hit], np.arange(len(texts) + 1))
-    return [(place[hit[a:b]], place[hit[a:b][late[a:b]]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    # a text of several places occurs more than once as a whole
+    found = [np.flatnonzero((length == window) | (places[owner] > 1)), hit[late]]
+    edges = [np.searchsorted(owner[x], np.arange(len(texts) + 1)) for x in found]
+    return [tuple(place[x[e[i] : e[i + 1]]] for x, e in zip(found, edges, strict=True)) for i in range(len(texts))]

@@ -32,7 +32,7 @@ from .common import groups_of, staged, text_buffers, with_key
 
 _U = np.uint64
 #: Bytes of text in one index shard, unless one room alone has more; places that are answered at a time.
-SHARD, ROWS = 1 << 20, 1 << 17
+SHARD, ROWS = 1 << 18, 1 << 17
 #: Contents of an anchor beyond which its windows are dealt out singly.
 WIDE = 4096
 #: Places that wait in the room of their anchor, or one room of their own; places of one batch to a room.
@@ -51,7 +51,7 @@ Find = Callable[[list[bytes], np.ndarray, np.ndarray, int], list[tuple[np.ndarra
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if k == "binary" else np.ascontiguousarray(c), type=kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if k == "binary" else np.ascontiguousarray(c, kinds[k].to_pandas_dtype()), type=kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[pa.Table], bool]) -> Iterator[pa.Table]:
@@ -149,7 +149,7 @@ def _meet(wide_from: int, wait: int):
             shared = (contents > 1) & ~wide  # the anchor has a room
             first = np.flatnonzero(new)[group]
             number = np.cumsum(other) - np.cumsum(other)[first] - 1
-            own = _rooms(anchor, content, (1 << 40) + np.maximum(number, 0) // wait)
+            own = _rooms(anchor, content, 1 + np.maximum(number, 0) // wait)  # the first is that of places of small batches too
             stay = np.where(shared & (waiting <= wait), anchor, own)
             yield _batch(FOUND, did[other], dkey[other], start[other], windows[other], content[other], stay[other], np.zeros(int(other.sum()), np.int32), none(int(other.sum())), np.zeros(int(other.sum()), bool))
             asked = new & ((contents > 1) | (total[group] > 1))
@@ -168,35 +168,49 @@ def _meet(wide_from: int, wait: int):
 
 
 def _fetch(window: int, by_words: bool):
-    """The texts that are asked about, once for each room. Windows of wide anchors have rooms of their own."""
+    """The texts that are asked about, once for each room. Windows of wide anchors have rooms of their own; equal ones of a batch go
+    there as one text, with its first place, and the other places wait in a room of the batch."""
+
+    def hashed(part: bytes) -> int:
+        code = np.frombuffer(b" ".join(part.split()) if by_words else part, np.uint8)
+        return int(hashing.mix(hashing.runs(hashing.TABLE[code], len(code))[:1]).view(np.int64)[0])
+
+    def singles(apart: dict[int, dict[tuple[int, int, int], tuple[int, bytes]]]) -> Iterator[tuple]:
+        for room, held in apart.items():
+            (did, dkey, s), (_, part) = first = min(held.items())
+            total = min(sum(n for n, _ in held.values()), 1 << 30)
+            yield room, room, did, dkey, s, 1, total, part
+            if len(held) > 1:
+                aside = int(_rooms(*(np.array([x], np.int64) for x in (room, dkey, s & 0xFFFFFFFF)))[0])
+                yield aside, room, did, dkey, s, 1, total, part
+                yield from ((aside, room, *place, 1, 0, None) for place in held if place != first[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch.column("text"), [batch.column(c).to_pylist() for c in ("did", "dkey")]
-            out: list[list] = [[] for _ in range(8)]
+            out: list[tuple] = []
+            apart: dict[int, dict[tuple[int, int, int], tuple[int, bytes]]] = {}
             held, asked = 0, batch.column("asked")
             for i in range(batch.num_rows):
-                body = (texts[i].as_py() or "").encode()
+                body, did, dkey = (texts[i].as_py() or "").encode(), keys[0][i], keys[1][i]
                 begin = end = None
                 if by_words:
                     _, begin, end, _ = hashing.words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
                 for x in asked[i].as_py():
                     start, windows = x["start"], x["windows"]
-                    piece = body[begin[start] : end[start + windows + window - 2]] if by_words else body[start : start + windows + window - 1]
-                    rows = [(room, start, windows, piece) for room in x["rooms"]]
+                    if x["rooms"]:
+                        piece = body[begin[start] : end[start + windows + window - 2]] if by_words else body[start : start + windows + window - 1]
+                        out += [(room, x["content"], did, dkey, start, windows, x["places"], piece) for room in x["rooms"]]
+                        held += len(piece) * len(x["rooms"])
                     if x["wide"]:
                         for s in range(start, start + windows):
                             part = body[begin[s] : end[s + window - 1]] if by_words else body[s : s + window]
-                            code = np.frombuffer(b" ".join(part.split()) if by_words else part, np.uint8)
-                            rows.append((int(hashing.mix(hashing.runs(hashing.TABLE[code], len(code))[:1]).view(np.int64)[0]), s, 1, part))
-                    for room, s, w, part in rows:
-                        held += len(part)
-                        for column, value in zip(out, (room, x["content"], keys[0][i], keys[1][i], s, w, x["places"], part), strict=True):
-                            column.append(value)
-                    if held > 8 * SHARD:
-                        yield _batch(PIECES, *out)
-                        out, held = [[] for _ in range(8)], 0
-            yield _batch(PIECES, *out)
+                            apart.setdefault(hashed(part), {})[did, dkey, s] = (x["places"], part)
+                            held += len(part)
+                if held > 32 * SHARD or i == batch.num_rows - 1:
+                    out += singles(apart)
+                    yield _batch(PIECES, *(zip(*out, strict=True) if out else [[]] * 8))
+                    out, apart, held = [], {}, 0
 
     return run
 
@@ -213,7 +227,7 @@ def _index(find: Find, window: int, first: bool):
     """From a partition in order of room, texts before the places that wait for them: the repeated windows of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, "room", lambda held: sum(b.num_rows for b in held) >= ROWS or sum(b.column("body").nbytes for b in held) >= SHARD):
+        for rows in _chunks(batches, "room", lambda held: sum(b.num_rows for b in held) >= ROWS or sum(b.column("body").nbytes for b in held) >= 4 * SHARD):
             yield from _answered(rows, find, window, first)
 
     return run
@@ -222,7 +236,7 @@ def _index(find: Find, window: int, first: bool):
 def _answered(rows: pa.Table, find: Find, window: int, first: bool) -> Iterator[pa.RecordBatch]:
     room, content, did, dkey, start, windows, places = (rows.column(c).to_numpy() for c in rows.column_names[:7])
     text = np.flatnonzero(places > 0)
-    order = text[np.lexsort((start[text], dkey[text], did[text], room[text]))]
+    order = text[np.lexsort((-places[text], start[text], dkey[text], did[text], room[text]))]
     again = (room[order[1:]] == room[order[:-1]]) & (did[order[1:]] == did[order[:-1]]) & (dkey[order[1:]] == dkey[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
     order = order[np.concatenate((np.ones(min(1, len(order)), bool), ~again))]  # a document's rows may be repeated
     bodies = [x.as_py() for x in rows.column("body").combine_chunks().take(pa.array(order))]
@@ -278,7 +292,7 @@ def repeats(docs: DataFrame, find: Find, window: int, k: int, by_words: bool, fi
     dealt = cut.repartition(F.when(F.col("places") == 0, F.xxhash64("did", "dkey", "start")).otherwise(F.col("anchor")))
     met = staged(dealt.sortWithinPartitions("anchor").mapInArrow(_meet(WIDE, WAIT), FOUND), "runs")
     asked = met.where("rooms is not null").groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows", "content", "places", "rooms", "wide")).alias("asked"))
-    pieces = docs.join(asked, ["did", "dkey"]).select("did", "dkey", "text", "asked").mapInArrow(_fetch(window, by_words), PIECES)
+    pieces = docs.join(asked, ["did", "dkey"]).mapInArrow(_fetch(window, by_words), PIECES)
     waiting = met.where("rooms is null").select("room", "content", "did", "dkey", "start", "windows", "places", F.lit(None).cast("binary").alias("body"))
     rooms = pieces.unionByName(waiting).repartition("room").sortWithinPartitions("room", F.desc("places"))
     spans = rooms.mapInArrow(_index(find, window, first), SPANS)

@@ -39,8 +39,7 @@ def is_smaller(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one that starts behind it."""
     ahead = np.append(text[1:], 0)
     change = np.append(np.flatnonzero(text != ahead), len(text) - 1)
-    run_end = change[np.searchsorted(change, np.arange(len(text)))]
-    return text[run_end] < ahead[run_end]
+    return np.repeat(text[change] < ahead[change], np.diff(change, prepend=-1))
 
 
 def _tied(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +150,8 @@ def _shared(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     text, first = join(texts)
     keys = Keys(text)
     order = suffix_array(text, keys, window)
-    ends = np.flatnonzero(text == 1)
-    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
+    sizes = np.diff(first, append=len(text))
+    left = np.repeat(first + sizes - 1, sizes) - np.arange(len(text))
     return order, common_prefixes(keys, order, left, window) >= window, left[order] >= window, first
 
 
@@ -162,7 +161,7 @@ def byte_repeats(texts: list[bytes], places: np.ndarray, ranks: np.ndarray, wind
     if not texts:
         return []
     order, shared, fits, first = _shared(texts, window)
-    owner = np.searchsorted(first, order, "right") - 1
+    owner = np.repeat(np.arange(len(texts)), np.diff(first, append=len(order)))[order]
     # neighbours that share a window are one string
     heads = np.flatnonzero(~shared)
     group = np.cumsum(~shared) - 1

@@ -80,8 +80,9 @@ def test_substring_dedup(docs, window, wide, each, monkeypatch):
     assert count == docs.count()
 
 
-@pytest.mark.parametrize("window,first", [(200, False), (200, True), (30, False), (30, True)])
-def test_suffix_dedup(docs, window, first):
+@pytest.mark.parametrize("window,first,wide", [(200, False, 4096), (200, True, 4096), (30, False, 4096), (30, True, 4096), (30, False, 1), (30, True, 1)])
+def test_suffix_dedup(docs, window, first, wide, monkeypatch):
+    monkeypatch.setattr(spans, "WIDE", wide)
     got = keyed(suffix_dedup.remove_repeated_bytes(docs, window, keep_first=first), "kept", "n_bytes", "n_removed")
     bodies = [((a, b), (t or "").encode()) for a, b, t in documents(docs)]
     counts = Counter(t[i : i + window] for _, t in bodies for i in range(len(t) - window + 1))
