@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +18,46 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 #: Rows of a batch that goes to a Python worker while a stage table is written, so that texts of some KB stay within its memory.
 BATCH, _BATCH = 2_500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files of a query go as soon as its stage table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of one key from which it is hot, unless more than 4096 keys would be.
+HOT = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one if the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Without one, a new folder of this machine if it is the only one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="refweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_lock, _writers, _before = threading.Lock(), [], {}
+
+
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The session's settings while stage tables are written; the last of concurrent writers restores them."""
+    with _lock:
+        if not _writers:
+            _before.update({k: spark.conf.get(k) for k in (_BATCH, _CLEANUP)})
+            most = int(_before[_BATCH])
+            spark.conf.set(_BATCH, str(min(most, BATCH) if most > 0 else BATCH))
+            spark.conf.set(_CLEANUP, "true")
+        _writers.append(1)
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers.pop()
+            if not _writers:
+                for k, v in _before.items():
+                    spark.conf.set(k, v)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
@@ -41,23 +71,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(was), BATCH) if int(was) > 0 else BATCH))
-    try:
+    with _writing(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, was)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now; else they stay until both sides of the driver happen to collect
-    their garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unstage(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
@@ -143,6 +162,37 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[roots[keep]])], ["u", "v"])
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[list[pa.RecordBatch]], bool]) -> Iterator[pa.Table]:
+    """A partition in order of key as tables that hold each key whole, each as small as full allows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if not full(held):
+            continue
+        keys = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if cut:
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts (key, n, ...): one row a key, n of which are in rows, all of which are about total.
+
+    Keys of more than HOT rows, or of one 4096th of all if that is more, are at most 4096: these facts are broadcast, and only
+    rows of other keys meet by key."""
+    limit = max(HOT, total >> 12)
+    if total <= limit:
+        return rows.join(facts.drop("n"), key, how)
+    hot = facts.where(F.col("n") > limit).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("n") <= limit).drop("n"), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable from each node that links (long columns u, v) name.
 
@@ -154,11 +204,11 @@ def components(links: DataFrame) -> DataFrame:
     total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while total[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_facts(both.where("v > u"), least, "u", 2 * total[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_facts(down, low, "u", 2 * total[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         after = staged(small.select("x.u", "x.v").where("u <> v").distinct(), "links")
         was, total = total, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstage(now)
@@ -172,7 +222,8 @@ def components(links: DataFrame) -> DataFrame:
 def component_ids(members: DataFrame, links: DataFrame) -> DataFrame:
     """node, root, component_id: a node's component, and the smallest did that links (u, v: nodes) reach from it, for each node of
     members (did, node) that has links."""
-    roots = staged(components(links), "roots")
-    least = members.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(F.min("did").alias("did"))
-    of = least.join(roots, "node")
-    return of.select("node", "root").join(of.groupBy("root").agg(F.min("did").alias("component_id")), "root").select("node", "root", "component_id")
+    roots = components(links)
+    least = members.groupBy("node").agg(F.min("did").alias("did"))  # before the join: a node may have any number of members
+    of = staged(least.join(roots, "node"), "roots")
+    firsts = of.groupBy("root").agg(F.min("did").alias("component_id"), F.count("*").alias("n"))
+    return with_facts(of.select("node", "root"), firsts, "root", of.count()).select("node", "root", "component_id")

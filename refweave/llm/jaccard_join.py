@@ -9,12 +9,15 @@
    sample; whatever it holds, a range goes only where enough others are sure to be left, so no link depends on it.
 3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
    in one task: every member in the inverted lists of all, but for those that are already in its component.
-4. Larger clusters, which passages that many texts share may make, are cut down first: in each room, in blocks of BLOCK x
-   BLOCK members, only pairs whose overlap may still be large enough by their sketches (a count and a short sum for every few
-   shingles) keep members together. What sketches can't cut down is searched piecewise: first, in each room the node of the least hash against
-   all others; then rooms that still hold several components, in blocks. Neither loses a link.
+4. Larger clusters, which passages that many texts share may make, are cut down first, by the shingles that are rarest in them: sets
+   that link share one of the rarest of each, and the first of these that both hold must stand so far up in both that what
+   follows is still enough (prefixes and their positions, as in PPJoin: Xiao et al. 2008). Of the sets that have a shingle up
+   there, sorted by size, each is tied to the next smaller one that it might link with: no pairs are made. What that can't cut down is
+   searched piecewise: first, in each room the node of the least hash against all others; then, of the sets of a rare shingle
+   that are still in several components, blocks of BLOCK against each other. Neither loses a link.
 Searches build inverted lists over the candidates' shingles, merge the short ones on a heap and probe the long ones
 (t_occurrence.py). Rooms meet by signature; equal nodes and rooms of one batch of documents are combined before the shuffle.
+Tasks read their rows in order of room, shingle or cluster, and hold one at a time.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NO_ID, Forest, component_ids, components, free_shuffles, groups_of, staged, table, text_buffers, unstage, with_key
+from .common import NO_ID, Forest, component_ids, components, groups_of, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
 from .t_occurrence import Lists
 
 _U = np.uint64
@@ -35,14 +39,14 @@ _U = np.uint64
 BLOCK = 512
 #: Shingles of a cluster that one task may search.
 CLUSTER = 4_000_000
-#: Shingles for each part of a sketch, at least; a power of two of parts, up to PARTS.
-SKETCH, PARTS = 4, 1 << 15
+#: Rows of rooms and shingles that are looked at together.
+ROWS = 1 << 17
 #: Bytes of text whose signatures are made at a time.
 SLICE = 1 << 22
 #: Ranges beyond D + 1, so that sets of which a few ranges are empty or common still share another one.
 SPARE = 6
-#: Texts of the sample, of the least hashes, from which shingles that several of them hold count as common.
-SAMPLE = 32_000
+#: Texts of the sample from which shingles that several of them hold count as common, and about their bytes at most.
+SAMPLE, SAMPLE_BYTES = 32_000, 1 << 28
 
 
 def shingle_sets(body: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -133,13 +137,28 @@ def _sampled(n: int):
     return run
 
 
-def common_shingles(docs: DataFrame, n: int):
-    """A broadcast of the sorted shingles that several distinct texts of a sample of about SAMPLE of docs (did, dkey, text) hold. Its size
-    is bounded by the sample's."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+def _broadcast(tokens: DataFrame) -> Broadcast:
+    """The sorted tokens that occur more than once, and how often."""
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    token, n = found.column("token").to_numpy().view(_U), found.column("n").to_numpy()
+    by = np.argsort(token)
+    return tokens.sparkSession.sparkContext.broadcast((token[by], n[by]))
+
+
+def common_shingles(docs: DataFrame, n: int) -> Broadcast:
+    """A broadcast of the sorted shingles that several distinct texts of a sample of docs (did, dkey, text) hold, and how many hold
+    them: about SAMPLE texts, and SAMPLE_BYTES of them, which bounds its size."""
+    known = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, SAMPLE / max(1, known[0]), SAMPLE_BYTES / max(1, known[1] or 0))
     sample = docs.where(F.pmod(F.xxhash64("dkey", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["dkey"]).select("text")
-    found = sample.mapInArrow(_sampled(n), "token long").groupBy("token").count().where("count > 1").select("token").toArrow()
-    return docs.sparkSession.sparkContext.broadcast(np.sort(found["token"].to_numpy().view(_U)) if found.num_rows else np.zeros(0, _U))
+    return _broadcast(sample.mapInArrow(_sampled(n), "token long"))
+
+
+def common_in_sets(sets: DataFrame) -> Broadcast:
+    """The same of sets (node, tokens): about SAMPLE of them."""
+    known = sets.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    share = min(1.0, SAMPLE / max(1, known[0]), SAMPLE_BYTES / (8 * max(1, known[1] or 0)))
+    return _broadcast(sets.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.explode("tokens").alias("token")))
 
 
 def _sign(n: int, percent: int, common):
@@ -153,7 +172,7 @@ def _sign(n: int, percent: int, common):
             sizes = np.array([len(t) for t in sets], np.int64)
             first = np.zeros(len(sets), bool)
             first[np.unique(nodes, return_index=True)[1]] = True
-            signed = [bands.signatures(t, common.value) if f else t[:0] for t, f in zip(sets, first, strict=True)]
+            signed = [bands.signatures(t, common.value[0]) if f else t[:0] for t, f in zip(sets, first, strict=True)]
             del sets
             owner = np.repeat(np.arange(len(signed)), [len(x) for x in signed])
             rooms = np.concatenate(signed).view(np.int64)
@@ -174,24 +193,26 @@ def _sign(n: int, percent: int, common):
     return run
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    batches = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(batches) if batches else None
+def _many(held: list[pa.RecordBatch]) -> bool:
+    return sum(b.num_rows for b in held) >= ROWS
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all (room, node) rows of a partition, each room's node of the least hash with each other one."""
-    rows = _table(batches)
-    if rows is None:
-        return
-    room, node = (rows.column(c).to_numpy() for c in ("room", "node"))
-    by = np.lexsort((node, room))
-    room, node = room[by], node[by]
-    edges = groups_of(room)
-    lead = np.repeat(node[edges[:-1]], np.diff(edges))
-    pairs = np.column_stack((lead, node))[node != lead]
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
+    """From (room, node) rows in order of room, each room's node of the least hash with each other one."""
+    for rows in whole_keys(batches, "room", _many):
+        room, node = (rows.column(c).to_numpy() for c in ("room", "node"))
+        by = np.lexsort((node, room))
+        room, node = room[by], node[by]
+        edges = groups_of(room)
+        lead = np.repeat(node[edges[:-1]], np.diff(edges))
+        pairs = np.column_stack((lead, node))[node != lead]
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        yield _pairs(pairs)
+
+
+def _pairs(pairs: np.ndarray | list) -> pa.RecordBatch:
+    pairs = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], ["u", "v"])
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -209,12 +230,60 @@ def _sets(n: int):
     return run
 
 
-def _rooms(percent: int, common):
+def prefix(tokens: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest tokens of a set, so many that sets that link share one of each's; and the size up to which a set can link whose
+    first common token with this one that is. Common tokens come in order of how many hold them, all others before them."""
+    size = len(tokens)
+    number = size - -(-size * percent // 100) + 1 if size else 0
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
+        tokens = tokens[np.argsort(np.where(common[0][at] == tokens, common[1][at], 0), kind="stable")]
+    return tokens[:number], (size - np.arange(number)) * (100 + percent) // percent - size
+
+
+def _prefixes(percent: int, common: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([bands.signatures(t, common.value) for t in _tokens(pa.Table.from_batches([batch]))])], ["node", "rooms"])
+                sets = _tokens(pa.Table.from_batches([batch]))
+                found = [prefix(t, percent, common.value) for t in sets]
+                counts = [len(t) for t, _ in found]
+                token, most = (np.concatenate(x) for x in zip(*found, strict=True))
+                node, size = (np.repeat(x, counts) for x in (batch.column("node").to_numpy(), [len(t) for t in sets]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), node, size, most)], ["token", "node", "size", "most"])
+
+    return run
+
+
+def ties(token: np.ndarray, node: np.ndarray, size: np.ndarray, most: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of nodes that join all that may link by one of these tokens, at most one for each row.
+
+    Of two sets that link, the larger allows for the smaller (its most is at least the other's size), and the smaller
+    for one that is larger than itself. So sets that allow for their own size are tied in order of size as far as sizes may link, and any other
+    set to the largest of these that it allows for."""
+    by = np.lexsort((size, token))
+    token, node, size, most = (x[by] for x in (token, node, size, most))
+    group = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if len(token) else token
+    early = np.flatnonzero(most >= size)
+    late = np.flatnonzero(most < size)
+    a, b = early[:-1], early[1:]
+    keep = (group[a] == group[b]) & (100 * size[a] >= percent * size[b])
+    chained = np.column_stack((node[a[keep]], node[b[keep]]))
+    if not len(early) or not len(late):
+        return chained
+    key = lambda g, s: g.astype(np.int64) << 40 | np.clip(s, 0, (1 << 40) - 1)
+    at = np.searchsorted(key(group[early], size[early]), key(group[late], most[late]), "right") - 1
+    other = early[np.maximum(at, 0)]
+    keep = (at >= 0) & (group[other] == group[late]) & (100 * size[other] >= percent * size[late])
+    return np.concatenate((chained, np.column_stack((node[other[keep]], node[late[keep]]))))
+
+
+def _tied(percent: int):
+    """From (token, node, size, most) rows in order of token: the ties."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, "token", _many):
+            yield _pairs(ties(*(rows.column(c).to_numpy() for c in ("token", "node", "size", "most")), percent))
 
     return run
 
@@ -262,8 +331,7 @@ def _search_cluster(percent: int):
                 if found:
                     out += [(int(node[x]), int(node[y])) for y in found]
                     roots = np.array([forest.root(y) for y in forest.up])
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
+            yield _pairs(out)
 
     return run
 
@@ -284,89 +352,18 @@ def _search_stars(percent: int):
 
 
 def _mixed_rooms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From all (room, node, comp) rows of a partition, the members of rooms with several components; a set of members once."""
-    rows = _table(batches)
-    if rows is None:
-        return
-    room, node, comp = (rows.column(c).to_numpy() for c in ("room", "node", "comp"))
-    by = np.lexsort((node, room))
-    room, node, comp = room[by], node[by], comp[by]
-    edges = groups_of(room)
-    mixed = np.maximum.reduceat(comp, edges[:-1]) != np.minimum.reduceat(comp, edges[:-1]) if len(room) else edges[:-1]
-    key = hashing.mix(np.add.reduceat(hashing.mix(node.view(_U)), edges[:-1])).view(np.int64) if len(room) else edges[:-1]
-    key, at = np.unique(key[mixed], return_index=True)
-    which = np.flatnonzero(mixed)[at]
-    take = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in which]) if len(which) else np.zeros(0, np.int64)
-    keys = np.repeat(key, np.diff(edges)[which]) if len(which) else key
-    sizes = np.repeat(np.diff(edges)[which], np.diff(edges)[which]) if len(which) else key
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes.astype(np.int64)), pa.array(node[take]), pa.array(comp[take])], ["key", "members", "node", "comp"])
-
-
-def sketch(tokens: np.ndarray) -> bytes:
-    """For each of a power of two of ranges of the hash space, how many of the tokens lie there (up to 255), then 8 bits of their
-    sum; both add up when ranges are joined."""
-    parts = min(PARTS, 1 << max(3, (len(tokens) // SKETCH).bit_length()))
-    edges = np.searchsorted(tokens, np.arange(1, parts, dtype=_U) << _U(64 - parts.bit_length() + 1))
-    edges = np.concatenate(([0], edges, [len(tokens)]))
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashing.mix(tokens), dtype=_U)))
-    values = (sums[edges[1:]] - sums[edges[:-1]]).astype(np.uint8)
-    return np.minimum(np.diff(edges), 255).astype(np.uint8).tobytes() + values.tobytes()
-
-
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sets = _tokens(pa.Table.from_batches([batch]))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(t) for t in sets], pa.int64()), pa.array([sketch(t) for t in sets], pa.binary())], ["node", "size", "sketch"])
-
-
-def _joined(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and values of all sketches, at the fewest parts that one of them has. Counts over 255 stand for any."""
-    parts = min(len(s) for s in sketches) // 2
-    counts, values = [], []
-    for s in sketches:
-        n = len(s) // 2
-        count, value = np.frombuffer(s, np.uint8, n).astype(np.int16), np.frombuffer(s, np.uint8, n, n)
-        unknown = count == 255
-        if n > parts:
-            count, value, unknown = (x.reshape(parts, -1) for x in (count, value, unknown))
-            count, value, unknown = count.sum(axis=1, dtype=np.int16), value.sum(axis=1, dtype=np.uint8), unknown.any(axis=1)
-        counts.append(np.where(unknown | (count > 255), 256, count))
-        values.append(value)
-    return np.array(counts, np.int16), np.array(values, np.uint8)
-
-
-def may_link(sizes: np.ndarray, counts: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """A matrix of the pairs (left, right) that their sizes and sketches don't rule out as links."""
-    most = np.zeros((len(left), len(right)), np.int64)
-    full = np.zeros_like(most, bool)
-    step = max(1, (1 << 16) // max(1, len(left) * len(right)))
-    for p in range(0, counts.shape[1], step):
-        a, b = counts[left, None, p : p + step], counts[None, right, p : p + step]
-        other = values[left, None, p : p + step] != values[None, right, p : p + step]
-        most += (np.minimum(a, b) - ((a == b) & other)).sum(axis=2)  # as many, but not the same: one differs at least
-        full |= (np.maximum(a, b) == 256).any(axis=2)
-    return ((100 + percent) * most >= percent * (sizes[left, None] + sizes[None, right])) | full
-
-
-def _tie_rooms(percent: int):
-    """Groups (key, i, j): the members of blocks i and j of a room; ties those together that may link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_groups(batches, ["key", "i", "j"]):
-            node, block, sizes, i, j = (rows.column(c).to_numpy() for c in ("node", "block", "size", "i", "j"))
-            counts, values = _joined(rows.column("sketch").to_pylist())
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            forest, out = Forest(len(node)), []
-            for at in range(0, len(left), 64):
-                some = left[at : at + 64]
-                for x, y in zip(*np.nonzero(may_link(sizes, counts, values, some, right, percent)), strict=True):
-                    if forest.join(int(some[x]), int(right[y])):
-                        out.append((int(node[some[x]]), int(node[right[y]])))
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
-
-    return run
+    """From (room, node, comp) rows in order of room, the members of rooms with several components; a set of members once."""
+    for rows in whole_keys(batches, "room", _many):
+        room, node, comp = (rows.column(c).to_numpy() for c in ("room", "node", "comp"))
+        by = np.lexsort((node, room))
+        room, node, comp = room[by], node[by], comp[by]
+        edges = groups_of(room)
+        sizes = np.diff(edges)
+        mixed = np.maximum.reduceat(comp, edges[:-1]) != np.minimum.reduceat(comp, edges[:-1])
+        key = hashing.mix(np.add.reduceat(hashing.mix(node.view(_U)), edges[:-1])).view(np.int64)
+        which = np.flatnonzero(mixed)[np.unique(key[mixed], return_index=True)[1]]
+        take = np.concatenate([np.arange(edges[i], edges[i + 1]) for i in which] or [which])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(key[which], sizes[which]), np.repeat(sizes[which], sizes[which]), node[take], comp[take])], ["key", "members", "node", "comp"])
 
 
 def _search_rooms(percent: int):
@@ -389,8 +386,7 @@ def _search_rooms(percent: int):
                 for y in right[lists.search(sets[x], percent, other)].tolist():
                     if forest.join(int(comp[x]), int(comp[y])):
                         out.append((int(node[x]), int(node[y])))
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], ["u", "v"])
+            yield _pairs(out)
 
     return run
 
@@ -404,34 +400,28 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
 def _blocks(rooms: DataFrame) -> DataFrame:
     """key, node, comp, block, i, j: the members of rooms (room, node, comp) of several comps, each set of members once, dealt out
     so that any two members of a room meet in one group (key, i, j)."""
-    mixed = rooms.repartition("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
+    mixed = rooms.repartition("room").sortWithinPartitions("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
     blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     blocks = blocks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
 
 
-def _cut_down(sets: DataFrame, percent: int, common) -> DataFrame:
-    """node, root: clusters of sets (node, tokens) that only pairs that may link tie together."""
-    rooms = sets.mapInArrow(_rooms(percent, common), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
-    groups = staged(_blocks(rooms.select("room", "node", F.col("node").alias("comp"))).drop("comp"), "blocks")
-    free_shuffles(sets.sparkSession)
-    sketches = sets.mapInArrow(_sketched, "node long, size long, sketch binary")
-    groups = _dealt(groups.join(sketches, "node"), "key", "i", "j")
-    return components(groups.mapInArrow(_tie_rooms(percent), "u long, v long"))
+def _cut_down(prefixes: DataFrame, percent: int) -> DataFrame:
+    """node, root: clusters that the ties of prefixes (token, node, size, most) make."""
+    return components(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_tied(percent), "u long, v long"))
 
 
-def _piecewise(sets: DataFrame, pairs: DataFrame, percent: int, common) -> DataFrame:
-    """Links u, v of clusters too large for one task, from their sets (node, tokens) and candidates (u, v)."""
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
+def _piecewise(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links u, v of clusters too large for one task, from their sets (node, tokens), prefixes and candidates (u, v)."""
+    many = pairs.groupBy("u").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK))
+    dealt = with_facts(pairs, many, "u", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
     owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     asked = dealt.select("u", "v", "part").unionByName(owns).join(sets.select(F.col("node").alias("v"), "tokens"), "v")
     links = staged(_dealt(asked, "u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
 
     comps = components(links)
-    rooms = sets.mapInArrow(_rooms(percent, common), "node long, rooms array<long>").select("node", F.explode("rooms").alias("room"))
-    blocks = _blocks(rooms.join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp")))
-    rest = _dealt(blocks.join(sets, "node"), "key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    rooms = prefixes.select(F.col("token").alias("room"), "node").join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp"))
+    rest = _dealt(_blocks(rooms).join(sets, "node"), "key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
     return links.unionByName(rest)
 
 
@@ -442,70 +432,75 @@ def _searched(sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_size(clusters: DataFrame) -> DataFrame:
     """clusters (node, root, size, ...) with large: whether the whole is too large for one task."""
-    return clusters.join(clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large")), "root")
+    clusters = staged(clusters, "sized")
+    return with_facts(clusters, clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large"), F.count("*").alias("n")), "root", clusters.count())
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of documents that links join: two link if their sets of n-word shingles have a Jaccard similarity of percent
-    / 100 or more. Words are lower-cased (A-Z) runs of bytes other than blank and tab to carriage return; a text of
-    fewer than n words has one shingle, all its words.
-
-    Returns did (doc_id; missing ids as the largest long), dkey (hash of the text), text, row (the other columns of
-    docs, under any names), n_shingles, component_id (smallest did that links reach, null where that document has no id), group
-    (a number of the component; null for documents without shingles).
-    Null and empty texts, and texts without words: n_shingles 0, linked with nothing. Rows of one doc_id are documents of
-    their own. Empty table: empty result.
-    """
-    docs = with_key(docs)
+def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """did, dkey, n_shingles, component_id, group of each document of docs (did, dkey, text, ...), once."""
     common = common_shingles(docs, n)
     signed = staged(docs.mapInArrow(_sign(n, percent, common), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
     linkable = signed.where("size > 0")
-    stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").mapInArrow(_stars, "u long, v long")
+    stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").sortWithinPartitions("room").mapInArrow(_stars, "u long, v long")
     nearby = linkable.select(F.explode("near").alias("u"), F.col("node").alias("v"))
     pairs = staged(stars.unionByName(nearby).distinct(), "pairs")
     wide, signed = signed, staged(signed.select("did", "dkey", "node", "size"), "nodes")
     unstage(wide)
-    free_shuffles(docs.sparkSession)
 
     members = signed.where("size > 0").select("did", "dkey", "node")
     clusters = components(pairs)
-    one = signed.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("did", "dkey", "size")).alias("x"))
+    one = signed.where("size > 0").groupBy("node").agg(F.min(F.struct("did", "dkey", "size")).alias("x"))
     one = staged(_with_size(one.join(clusters, "node").select("node", "root", "x.did", "x.dkey", "x.size")), "clusters")
-    texts = docs.select("did", "dkey", "text").join(one.drop("size").hint("shuffle_hash"), ["did", "dkey"]).select("node", "root", "large", "text")
+    texts = docs.select("did", "dkey", "text").join(one.drop("size"), ["did", "dkey"]).select("node", "root", "large", "text")
     sets = texts.mapInArrow(_sets(n), "node long, root long, large boolean, tokens array<long>")
     links = staged(_searched(sets.where("not large"), percent), "links")
-    free_shuffles(docs.sparkSession)
     if one.where("large").limit(1).count():
         sets = staged(sets.where("large").select("node", "tokens"), "sets")
-        free_shuffles(docs.sparkSession)
-        finer = staged(_with_size(_cut_down(sets, percent, common).join(one.select("node", "size"), "node")), "finer")
+        prefixes = staged(sets.mapInArrow(_prefixes(percent, common_in_sets(sets)), "token long, node long, size long, most long"), "prefixes")
+        finer = staged(_with_size(_cut_down(prefixes, percent).join(one.select("node", "size"), "node")), "finer")
         links = staged(links.unionByName(_searched(finer.where("not large").join(sets, "node"), percent)), "links")
-        free_shuffles(docs.sparkSession)
         if finer.where("large").limit(1).count():
-            sets = staged(sets.join(finer.where("large").select("node"), "node", "left_semi"), "sets")
-            links = links.unionByName(_piecewise(sets, pairs.join(sets.select(F.col("node").alias("u")), "u", "left_semi").join(sets.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v"), percent, common))
+            left = staged(finer.where("large").select("node"), "left")
+            mine = lambda rows, c: rows.join(left.withColumnRenamed("node", c), c, "left_semi")
+            links = links.unionByName(_piecewise(staged(mine(sets, "node"), "sets"), mine(prefixes, "node"), mine(mine(pairs, "u"), "v").select("u", "v"), percent))
 
     found = component_ids(members, links)
-    sizes = signed.select("did", "dkey", "node", F.col("size").alias("n_shingles")).dropDuplicates(["did", "dkey"])
-    least = members.groupBy("node").agg(F.min("did").alias("least"))
-    labels = sizes.join(least, "node", "left").join(found, "node", "left")
-    component = F.coalesce("component_id", "least", "did")
-    labels = labels.select("did", "dkey", "n_shingles", F.when(component < NO_ID, component).alias("component_id"), F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("group"))
-    return docs.join(labels.hint("shuffle_hash"), ["did", "dkey"])
+    nodes = members.groupBy("node").agg(F.min("did").alias("least"), F.count("*").alias("n")).join(found, "node", "left")
+    nodes = staged(nodes.select("node", "n", F.coalesce("component_id", "least").alias("component"), F.coalesce("root", "node").alias("group")), "nodes")
+    once = signed.select("did", "dkey", "node", F.col("size").alias("n_shingles")).dropDuplicates(["did", "dkey"])
+    linked = with_facts(once.where("n_shingles > 0"), nodes, "node", signed.count())
+    bare = once.where("n_shingles = 0").withColumns({"component": F.col("did"), "group": F.lit(None).cast("long")})
+    return linked.unionByName(bare).select("did", "dkey", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), "group")
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of documents that links join: two link if their sets of n-word shingles have a Jaccard similarity of percent
+    / 100 or more. Words are lower-cased (A-Z) runs of bytes other than blank and tab to carriage return; a text of
+    fewer than n words has one shingle, all its words.
+
+    Returns did (doc_id; missing ids as the largest long), dkey (hash of the text), text, row (the other columns of
+    docs, under any names), n_shingles, component_id (smallest did that links reach, null where that document has no id), group
+    (a number of the component; null for documents without shingles).
+    Null and empty texts, and texts without words: n_shingles 0, linked with nothing. Rows of one doc_id are documents of
+    their own; rows equal in id and text are one, and each comes out. Empty table: empty result.
+    """
+    docs = with_key(docs)
+    return docs.join(_labels(docs, n, percent), ["did", "dkey"])
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs (doc_id, text, ...) without near copies: of each group that jaccard_groups finds, the document of the
     smallest doc_id stays, once. Documents without shingles stay; of those equal in doc_id and text, one."""
-    columns = docs.columns
-    found = jaccard_groups(docs, n, percent)
-    firsts = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("did", "dkey")).alias("x")).select("group", "x.did", "x.dkey")
-    keys = staged(firsts.unionByName(found.where(F.col("group").isNull()).select("group", "did", "dkey").distinct()).select("did", "dkey"), "firsts")
-    once = with_key(docs).join(keys.hint("shuffle_hash"), ["did", "dkey"]).dropDuplicates(["did", "dkey"])
-    return once.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))
+    keyed = with_key(docs)
+    found = staged(_labels(keyed, n, percent).select("did", "dkey", "group"), "labels")
+    firsts = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("did", "dkey")).alias("x")).select("x.did", "x.dkey")
+    keys = firsts.unionByName(found.where(F.col("group").isNull()).select("did", "dkey"))
+    once = keyed.join(keys, ["did", "dkey"]).dropDuplicates(["did", "dkey"])
+    return once.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by 4-word shingles at a Jaccard similarity of 0.85; those without words link with nothing."""
     out = jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
     return out.select("row.doc_id", "n_shingles", "component_id")
 

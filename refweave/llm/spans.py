@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import groups_of, staged, text_buffers, with_key
+from .common import groups_of, staged, text_buffers, whole_keys, with_key
 
 _U = np.uint64
 #: Bytes of text in one index shard, unless one room alone has more; places that are answered at a time.
@@ -54,24 +54,6 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c if k == "binary" else np.ascontiguousarray(c, kinds[k].to_pandas_dtype()), type=kinds[k]) for (_, k), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[pa.Table], bool]) -> Iterator[pa.Table]:
-    """A partition in order of key as tables that hold each key whole, each as small as full allows."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if not full(held):
-            continue
-        keys = batch.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-        if cut:
-            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _rooms(anchor: np.ndarray, content: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The rooms in which places of a content wait."""
     return hashing.mix(anchor.view(_U) + hashing.mix(content.view(_U) + hashing.mix(number.astype(_U) + _U(1)))).view(np.int64)
@@ -115,7 +97,7 @@ def _cut(window: int, k: int, by_words: bool):
             group = np.cumsum(new) - 1
             places = np.bincount(group)[group]
             spread = 1 << np.ceil(np.log2((places - 1) // EACH + 1)).astype(np.int64)
-            salt = hashing.mix(np.array([dkey[0]]).view(_U) ^ _U(batch.num_rows))[0] >> _U(1)
+            salt = hashing.mix(did[:1].view(_U) + hashing.mix(dkey[:1].view(_U)))[0] >> _U(1)  # of the batch
             room = np.where(places > 1, _rooms(columns[0], columns[1], spread + salt.astype(np.int64) % spread), 0)
             yield _batch(RUNS, *columns, np.where(new, places, 0), room)
 
@@ -128,7 +110,7 @@ def _meet(wide_from: int, wait: int):
     none = lambda n: pa.nulls(n, pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, "anchor", lambda held: sum(b.num_rows for b in held) >= ROWS):
+        for rows in whole_keys(batches, "anchor", lambda held: sum(b.num_rows for b in held) >= ROWS):
             columns = [c.to_numpy() for c in rows.columns]
             waits = columns[6] == 0
             _, content, did, dkey, start, windows, places, room = (x[waits] for x in columns)
@@ -181,7 +163,7 @@ def _fetch(window: int, by_words: bool):
             total = min(sum(n for n, _ in held.values()), 1 << 30)
             yield room, room, did, dkey, s, 1, total, part
             if len(held) > 1:
-                aside = int(_rooms(*(np.array([x], np.int64) for x in (room, dkey, s & 0xFFFFFFFF)))[0])
+                aside = int(_rooms(*(np.array([x], np.int64) for x in (room, did ^ dkey, s)))[0])
                 yield aside, room, did, dkey, s, 1, total, part
                 yield from ((aside, room, *place, 1, 0, None) for place in held if place != first[0])
 
@@ -227,7 +209,7 @@ def _index(find: Find, window: int, first: bool):
     """From a partition in order of room, texts before the places that wait for them: the repeated windows of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, "room", lambda held: sum(b.num_rows for b in held) >= ROWS or sum(b.column("body").nbytes for b in held) >= 4 * SHARD):
+        for rows in whole_keys(batches, "room", lambda held: sum(b.num_rows for b in held) >= ROWS or sum(b.column("body").nbytes for b in held) >= 4 * SHARD):
             yield from _answered(rows, find, window, first)
 
     return run

@@ -164,8 +164,32 @@ def test_candidates_are_complete_on_random_sets():
                 for share in (0, 0.3, 1):
                     common = np.sort(rng.permutation(a)[: int(share * len(a))])
                     assert set(bands.signatures(a, common).tolist()) & set(bands.signatures(b, common).tolist())
-                sizes = np.array([len(a), len(b)])
-                assert jaccard_join.may_link(sizes, *jaccard_join._joined([jaccard_join.sketch(a), jaccard_join.sketch(b)]), np.array([0]), np.array([1]), percent).all()
+
+
+def test_ties_join_all_sets_that_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        percent, passage = int(rng.choice([60, 80, 85])), rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        sets = []
+        for _ in range(14):
+            own = rng.integers(0, 1 << 63, int(rng.integers(0, 12)), dtype=np.uint64)
+            kept = passage[rng.random(40) < rng.choice([0.3, 0.8, 0.95])] if trial % 2 or not sets else sets[int(rng.integers(0, len(sets)))]
+            sets.append(np.unique(np.concatenate((own[: int(rng.integers(0, 5))] if trial % 3 else own, kept))))
+        sets = [x for x in sets if len(x)]
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        known = (tokens[counts > 1], counts[counts > 1]) if trial % 4 else (tokens[:0], counts[:0])
+        found = [jaccard_join.prefix(x, percent, known) for x in sets]
+        n = [len(t) for t, _ in found]
+        pairs = jaccard_join.ties(np.concatenate([t for t, _ in found]).view(np.int64), np.repeat(np.arange(len(sets)), n), np.repeat([len(x) for x in sets], n), np.concatenate([m for _, m in found]), percent)
+        forest = common.Forest(len(sets))
+        for u, v in pairs.tolist():
+            forest.join(u, v)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+                    assert forest.root(i) == forest.root(j)
 
 
 @pytest.mark.parametrize("cell", [20_000, 2])
