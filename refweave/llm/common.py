@@ -180,6 +180,25 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, full: Callable[[list
         yield pa.Table.from_batches(held)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by keys, one after another."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        code = np.column_stack([rows.column(k).to_numpy() for k in keys])
+        edges = np.concatenate(([0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1, [len(code)]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = rows.slice(a, b - a)
+            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in keys):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_tables(held)
+
+
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with facts (key, n, ...): one row a key, n of which are in rows, all of which are about total.
 

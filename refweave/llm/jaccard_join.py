@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NO_ID, Forest, component_ids, components, groups_of, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
+from .common import NO_ID, Forest, component_ids, components, groups_of, sorted_groups, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
 from .t_occurrence import Lists
 
 _U = np.uint64
@@ -288,25 +288,6 @@ def _tied(percent: int):
     return run
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of a partition that is sorted by keys, one after another."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch])
-        code = np.column_stack([rows.column(k).to_numpy() for k in keys])
-        edges = np.concatenate(([0], np.flatnonzero((code[1:] != code[:-1]).any(axis=1)) + 1, [len(code)]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            part = rows.slice(a, b - a)
-            if held and any(held[-1].column(k)[0] != part.column(k)[0] for k in keys):
-                yield pa.concat_tables(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_tables(held)
-
-
 def _tokens(rows: pa.Table) -> list[np.ndarray]:
     column = rows.column("tokens").combine_chunks()
     flat = np.asarray(column.flatten()).view(_U)
@@ -318,7 +299,7 @@ def _search_cluster(percent: int):
     """Groups (root): all members of a cluster; gives links that join its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_groups(batches, ["root"]):
+        for rows in sorted_groups(batches, ["root"]):
             node, sets = rows.column("node").to_numpy(), _tokens(rows)
             lists, forest = Lists(sets), Forest(len(sets))
             roots = np.arange(len(sets))
@@ -340,7 +321,7 @@ def _search_stars(percent: int):
     """Groups (u, part): u's own row and its candidates' rows; gives the links of u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_groups(batches, ["u", "part"]):
+        for rows in sorted_groups(batches, ["u", "part"]):
             u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
             sets = _tokens(rows)
             own = int(np.flatnonzero(u == v)[0])
@@ -370,7 +351,7 @@ def _search_rooms(percent: int):
     """Groups (key, i, j): the members of blocks i and j of a room; gives links that join their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _sorted_groups(batches, ["key", "i", "j"]):
+        for rows in sorted_groups(batches, ["key", "i", "j"]):
             node, comp, block, i, j = (rows.column(c).to_numpy() for c in ("node", "comp", "block", "i", "j"))
             comp = np.unique(comp, return_inverse=True)[1]
             forest = Forest(int(comp.max()) + 1)

@@ -301,10 +301,12 @@ def vectors(spark):
     return spark.createDataFrame([(*r, 1, "x") for r in hard_vectors()], "vec_id long, embedding array<double>, node int, row string")
 
 
-def test_embedding_dedup(vectors, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 5)
+@pytest.mark.parametrize("room,block", [(8192, 16_384), (8, 5)])
+def test_embedding_dedup(vectors, room, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "ROOM", room)
     monkeypatch.setattr(embedding_dedup, "ROWS", 2)
-    got = Counter((r["vid"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(vectors, recall=0.9999).collect())
+    got = Counter((r["vid"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(vectors, recall=0.99999).collect())
     rows = [(common.NO_ID if v is None else v, e) for v, e in hard_vectors()]
     fine = [bool(e) and all(x is not None and math.isfinite(x) for x in e) and any(e) for _, e in rows]
 
@@ -327,14 +329,38 @@ def test_embedding_dedup(vectors, monkeypatch):
 
 
 def test_embedding_recall_on_the_given_table(spark):
-    """Recall of pairs at the planned bits and tables, against brute force."""
+    """Recall of links, and components, at the planned bits and tables, against brute force."""
     import numpy as np
 
     found = embedding_dedup.op1_embedding_dedup(spark, "/root/testdata/sf0.1").toPandas().sort_values("vec_id")
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
     x = embedding_dedup.unit_rows(np.array(table["embedding"].tolist()))
-    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    linked = x @ x.T >= 0.9
+    links, ids = linked.sum(axis=1) - 1, table["vec_id"].to_numpy()
     assert found["n_links"].sum() >= 0.95 * links.sum() and (found["n_links"].to_numpy() <= links).all()
+    forest = common.Forest(len(ids))
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        forest.join(int(i), int(j))
+    want = np.array([ids[forest.root(i)] for i in range(len(ids))])
+    assert (found["component_id"].to_numpy() == want).mean() >= 0.97
+
+
+@pytest.mark.parametrize("room,bits", [(8192, 0), (16, 7), (1, 11)])
+def test_embedding_recall_of_planted_pairs_at_the_threshold(spark, room, bits, monkeypatch):
+    """1,000 pairs whose cosine is just above the threshold among 2,000 vectors, for rooms of up to 11 bits and more tables."""
+    import numpy as np
+
+    monkeypatch.setattr(embedding_dedup, "ROOM", room)
+    plan = embedding_dedup.plan_tables(2000)
+    assert plan.bits == bits
+    rng = np.random.default_rng(3)
+    a, b = (embedding_dedup.unit_rows(rng.standard_normal((1000, 48))) for _ in range(2))
+    b = embedding_dedup.unit_rows(b - (a * b).sum(axis=1)[:, None] * a)
+    c = 0.9001 * a + (1 - 0.9001**2) ** 0.5 * b
+    rows = [(2 * i + j, x.tolist()) for i in range(1000) for j, x in enumerate((a[i], c[i]))]
+    found = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vid % 2 = 1")
+    tied = found.where("n_links = 1 and component_id = vid - 1 and not kept").count()
+    assert tied >= 950 and found.where("n_links > 1").count() == 0
 
 
 @pytest.mark.parametrize("block,chunk,dense", [(8192, 4_000_000, 1 / 16), (2, 7, 0.0), (3, 100, 1.0)])
