@@ -1,4 +1,4 @@
-"""Command line: ingest, gen, index and stats. Flags also come from the environment, as REFWEAVE_MAX_PAGES for --maxPages."""
+"""Command line: ingest, gen, index, run and stats. Flags also come from the environment, as REFWEAVE_MAX_PAGES for --maxPages."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--verbose", action="store_true")
     top.add_argument("--quiet", action="store_true")
     sub = top.add_subparsers(dest="command", required=True)
-    for name, text in (("ingest", "extract edges to Parquet"), ("index", "build the index, written as TSV"), ("stats", "print counters as METRIC lines")):
+    for name, text in (("ingest", "extract edges to Parquet"), ("index", "build the index, written as TSV"), ("run", "ingest and index: edges and TSV under --out"), ("stats", "print counters as METRIC lines")):
         one = sub.add_parser(name, help=text)
         for kind in KINDS:
             one.add_argument(f"--{kind}", action="append")
@@ -46,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
 
 def _edges(spark: SparkSession, args: argparse.Namespace):
     if args.extracted:
-        return spark.read.parquet(args.extracted)
+        return sinks.read_edges(spark, args.extracted)
     for kind in KINDS:
         if paths := getattr(args, kind):
             return jobs.ingest(spark, kind, *([paths] if isinstance(paths, str) else paths), include_internal=args.includeInternal, max_pages=args.maxPages)
@@ -67,6 +67,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             sinks.write_partitions(edges, args.out, args.partitions, args.pagesPerFile)
         else:
             sinks.write_edges(edges, args.out)
+    elif args.command == "run":
+        sinks.write_edges(edges, f"{args.out}/edges")
+        sinks.write_tsv(jobs.index(spark, sinks.read_edges(spark, f"{args.out}/edges")), f"{args.out}/index", args.ordered)
     elif args.command == "index":
         sinks.write_tsv(jobs.index(spark, edges), args.out, args.ordered)
     else:

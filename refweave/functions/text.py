@@ -14,11 +14,10 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """What escape() made, undone; other escaped characters stand for themselves."""
-    held = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for char, mark in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        held = F.replace(held, F.lit(mark), F.lit(char))
-    return F.replace(F.regexp_replace(held, r"\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+    """What escape() made, undone. Other marks, and a backslash at the end, stay as they are."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[^\\]+|\\"), F.lit(0))
+    one = lambda x: F.when(x == "\\\\", "\\").when(x == "\\t", "\t").when(x == "\\n", "\n").when(x == "\\r", "\r").otherwise(x)
+    return F.when(text.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def human_bytes(n: Column) -> Column:

@@ -21,10 +21,18 @@ def backlinks(edges: DataFrame) -> DataFrame:
 def backlinks_in_chunks(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     """target, chunk, sources: as backlinks(), but a target of more sources than `chunk` gets several rows, so that no row
     grows without bound. Chunk 0, 1, ... of a target follow each other by hash of the source, each sorted in itself."""
-    once = distinct_edges(edges)
-    parts = once.groupBy("target").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = once.join(parts, "target").withColumn("chunk", F.pmod(F.xxhash64("source"), "parts").cast("int"))
-    return dealt.groupBy("target", "chunk").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    # at most one target for every chunk edges, so few that they can be broadcast; counted before the shuffle
+    hot = edges.groupBy("target").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("source"), "parts")).otherwise(0).cast("int")
+    dealt = edges.join(F.broadcast(hot), "target", "left").select("target", part.alias("chunk"), "source")
+    return dealt.groupBy("target", "chunk").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def joined(chunks: DataFrame) -> DataFrame:
+    """target, sources: the chunks of each target in one row, in order. A line of text needs that; Parquet should keep the chunks."""
+    known = chunks.groupBy("target").agg(F.max("chunk").alias("most")).where("most > 0").select("target")
+    rows = chunks.join(F.broadcast(known), "target", "left_semi").groupBy("target").agg(F.sort_array(F.flatten(F.collect_list("sources"))).alias("sources"))
+    return chunks.join(F.broadcast(known), "target", "left_anti").select("target", "sources").unionByName(rows)
 
 
 def merge_indexes(*indexes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import pages_to_edges
-from ..operators.index import backlinks, stats
+from ..operators.index import backlinks_in_chunks, stats
 from ..sources import edgelist, files, pagefile, sinks, warc, wikidump
 
 
@@ -38,8 +38,8 @@ def _unioned(parts: list[DataFrame]) -> DataFrame:
 
 
 def index(spark: SparkSession, edges: DataFrame, output: str | None = None) -> DataFrame:
-    """The index of edges; also written as TSV if there is an output."""
-    found = backlinks(edges)
+    """The index of edges, in chunks (backlinks_in_chunks); also written as TSV, a line a target, if there is an output."""
+    found = backlinks_in_chunks(edges)
     if output:
         sinks.write_tsv(found, output)
     return found

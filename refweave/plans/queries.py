@@ -1,19 +1,26 @@
 """The registered queries of the link-graph engine, and the same in DuckDB's SQL.
 
 Indexes come out with their sources as one text, parted by blanks. Edge lists are taken from lineitem (supplier to part), pages
-from pages; literal tables stand in where no table has such values, or add rarer ones to what a table has. Pages link within their sites only, so internal links count.
+from pages; literal tables stand in where no table has such values, or add rarer ones to what a table has. Pages link within their sites only, so internal links count;
+the derived_ queries put links of all other kinds into pages of their own, made of page_id. Archives, dumps and page files are made of pages and read back.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import json
+import tarfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import hashing, html, jsonpath, text, urls, wiki
 from ..operators import extract, index
-from ..sources import edgelist, sinks, synthetic
+from ..sources import edgelist, pagefile, sinks, synthetic, warc, wikidump
 
 K = 20
 
@@ -98,6 +105,67 @@ def _merged(spark: SparkSession, d: str) -> DataFrame:
     return _flat(index.merge_indexes(found, found))
 
 
+def _derived(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each of pages, with relative, protocol-relative, absolute and unusable links, entities, a base, and a decomposed letter."""
+    i, text = F.col("page_id"), lambda c: c.cast("string")
+    base = F.when(i % 4 == 0, '<base href="https://b.example/q/">').otherwise("")
+    links = [F.lit('<a href="n'), text(i + 1), F.lit(".html#x\">x</a><a class=x href='//t"), text(i % 5), F.lit(".example/x?q=1&amp;r="), text(i)]
+    links += [F.lit("'>x</a><a href=HTTPS://S"), text((i + 1) % 11), F.lit(".EXAMPLE:443/d/p"), text(i + 1)]
+    links += [F.lit('>x</a><a href="mailto:a@b.c">x</a><a href="#top">x</a><a href="../up/./x">x</a><a href="https://t0.example/cafe\u0301">x</a>')]
+    return _pages(spark, d).select(F.concat(F.lit("https://s"), text(i % 11), F.lit(".example/d/p"), text(i)).alias("url"), F.concat(base, *links).alias("html"))
+
+
+def _derived_external(spark: SparkSession, d: str, how: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    pages = _derived(spark, d)
+    return _flat(how(index.backlinks(extract.pages_to_edges(pages)), pages.select(F.col("url").alias("target"))))
+
+
+def _record(kind: str, url: Column, body: Column) -> Column:
+    head = F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    return F.concat(head, body, F.lit("\r\n\r\n"))
+
+
+def _warc(spark: SparkSession, d: str) -> DataFrame:
+    """An archive for each of pages: a request, and a response of some content type, whose charset may be none of text."""
+    kinds = F.array(*(F.lit(x) for x in ("text/html; charset=utf-8", "image/png", "application/xhtml+xml; charset=hex", "Text/HTML")))
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int")), F.lit("\r\n\r\n"), F.col("html"))
+    content = F.concat(_record("request", F.col("url"), F.lit("GET / HTTP/1.1\r\n\r\n")), _record("response", F.col("url"), body))
+    return warc.html_pages(warc.parse(_pages(spark, d).select(F.lit("a.warc").alias("path"), F.encode(content, "UTF-8").alias("content"))))
+
+
+def _dump(spark: SparkSession, d: str) -> DataFrame:
+    """A packed dump for each of pages, its line parted over two members, behind a bad line and an empty article."""
+
+    @F.pandas_udf(BinaryType())
+    def packed(url: pd.Series, html: pd.Series) -> pd.Series:
+        def one(u: str, h: str) -> bytes:
+            lines = b"no JSON\n" + json.dumps({"url": u}).encode() + b"\n" + json.dumps({"url": u, "article_body": {"html": h}}).encode()
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                for i, part in enumerate((lines[: len(lines) // 2], lines[len(lines) // 2 :])):
+                    info = tarfile.TarInfo(f"{i}.ndjson")
+                    info.size = len(part)
+                    tar.addfile(info, io.BytesIO(part))
+            return gzip.compress(out.getvalue(), 1)
+
+        return pd.Series([one(u, h) for u, h in zip(url, html, strict=True)])
+
+    return wikidump.parse(_pages(spark, d).select(packed("url", "html").alias("content")))
+
+
+def _page_file(spark: SparkSession, d: str) -> DataFrame:
+    known = _page_edges(spark, d).groupBy("source").agg(F.collect_list(F.concat(F.lit("LINK "), "target")).alias("links"))
+    return pagefile.edges(pagefile.parse(known.select(F.lit("a.page").alias("path"), F.concat(F.lit("LINK lost\nURL "), "source", F.lit("\nnoise\n"), F.array_join("links", "\n"), F.lit("\n")).alias("value"))))
+
+
+def _edge_file(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    sign = F.element_at(F.array(F.lit("\t"), F.lit(" "), F.lit(","), F.lit("  ")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    good = F.concat(F.col("l_suppkey").cast("string"), sign, F.col("l_partkey").cast("string"), F.lit(" 0.5"))
+    lines = rows.select(F.explode(F.array(F.lit("# note"), good, F.lit("lonely"))).alias("value"))
+    return edgelist.parse(lines).where("not malformed").select("source", "target")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_hrefs": lambda s, d: extract.hrefs(_pages(s, d), "page_id"),
     "entity_decode": lambda s, d: _values(s, ENTITIES).select("v", html.decode_entities(F.col("v")).alias("decoded")),
@@ -125,10 +193,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "merge_indexes": _merged,
     "distinct_edges": lambda s, d: index.distinct_edges(_edges(s, d)),
     "fan_in": lambda s, d: index.fan_in(_edges(s, d)),
-    "edge_count": lambda s, d: index.stats(_edges(s, d)).select("backlink_edges"),
-    "key_count": lambda s, d: index.stats(_edges(s, d)).select("backlink_keys"),
-    "max_fan_in": lambda s, d: index.stats(_edges(s, d)).select("max_fan_in"),
-    "distinct_sources": lambda s, d: index.stats(_edges(s, d)).select("distinct_sources"),
+    "edge_count": lambda s, d: index.distinct_edges(_edges(s, d)).agg(F.count("*").alias("backlink_edges")),
+    "key_count": lambda s, d: _edges(s, d).agg(F.countDistinct("target").alias("backlink_keys")),
+    "max_fan_in": lambda s, d: index.fan_in(_edges(s, d)).agg(F.max("fan_in").alias("max_fan_in")),
+    "distinct_sources": lambda s, d: _edges(s, d).agg(F.countDistinct("source").alias("distinct_sources")),
     "index_stats": lambda s, d: index.stats(_edges(s, d)),
     "metric_lines": lambda s, d: sinks.metric_lines(index.stats(_edges(s, d)).select("backlink_keys", "backlink_edges")),
     "skew_profile": lambda s, d: index.skew_profile(_edges(s, d)),
@@ -145,6 +213,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_path": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").alias("k"), jsonpath.json_string(F.col("props"), "k").alias("k_string")),
     "median_duration": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(index.integer_median(F.floor("value")).alias("median")),
     "synthetic": lambda s, d: synthetic.generate(s, 2000, 8),
+    "text_unescape": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.unescape(F.concat(F.lit("\\q\x00"), "text", F.lit("\\n\\\\n\\"))).alias("plain")),
+    "json_first": lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", jsonpath.json_string(F.concat(F.lit('{"a":[1,"}"],"k":"'), "event_type", F.lit('","k":"late", broken')), "k").alias("k")),
+    "warc_pages": _warc,
+    "dump_pages": _dump,
+    "page_file_edges": _page_file,
+    "edge_file": _edge_file,
+    "derived_edges": lambda s, d: extract.pages_to_edges(_derived(s, d), include_internal=True),
+    "derived_edges_external": lambda s, d: extract.pages_to_edges(_derived(s, d)),
+    "derived_resolved": lambda s, d: _derived_external(s, d, index.resolved_targets),
+    "derived_dangling": lambda s, d: _derived_external(s, d, index.dangling_targets),
 }
 
 _WITH_PAGES = f"WITH {_PAGE_LINKS} "
@@ -153,6 +231,16 @@ _STATS = """CAST((SELECT count(*) FROM {0}) AS BIGINT) AS links_emitted, CAST((S
   CAST((SELECT count(*) FROM (SELECT DISTINCT source, target FROM {0})) AS BIGINT) AS backlink_edges,
   (SELECT max(fan_in) FROM fan) AS max_fan_in, CAST((SELECT count(DISTINCT source) FROM {0}) AS BIGINT) AS distinct_sources"""
 _FIX = "(SELECT DISTINCT source, target FROM page_edges) p"
+_HOME = "CASE WHEN page_id % 4 = 0 THEN 'https://b.example/' ELSE 'https://s' || page_id % 11 || '.example/' END"
+_DERIVED = f"""WITH derived AS (
+  SELECT page_id, 'https://s' || page_id % 11 || '.example/d/p' || page_id AS source, unnest([
+    {_HOME} || CASE WHEN page_id % 4 = 0 THEN 'q' ELSE 'd' END || '/n' || (page_id + 1) || '.html', 'https://t' || page_id % 5 || '.example/x?q=1&r=' || page_id,
+    'https://s' || (page_id + 1) % 11 || '.example/d/p' || (page_id + 1), {_HOME} || 'up/x', 'https://t0.example/caf%C3%A9']) AS target FROM pages
+), outward AS (
+  SELECT DISTINCT source, target FROM derived WHERE {_HOST.format('source')} <> {_HOST.format('target')}
+), own AS (
+  SELECT DISTINCT source AS target FROM derived
+) """
 
 ORACLE_SQL = {
     "extract_hrefs": f"SELECT page_id, href FROM ({_HREFS})",
@@ -202,4 +290,15 @@ ORACLE_SQL = {
     "locality_rate": "SELECT n_nationkey, CASE WHEN n_nationkey + n_regionkey > 0 THEN n_nationkey / (n_nationkey + n_regionkey) ELSE 1.0 END AS rate FROM nation",
     "json_path": "SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k_string FROM events",
     "median_duration": "SELECT event_type, CAST(floor(median(floor(value))) AS BIGINT) AS median FROM events GROUP BY event_type",
+    "text_unescape": r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all('\q' || chr(0) || text || '\n\\n\', '(?s)\\.|[^\\]+|\\'),
+      lambda x: CASE x WHEN '\\' THEN '\' WHEN '\t' THEN chr(9) WHEN '\n' THEN chr(10) WHEN '\r' THEN chr(13) ELSE x END), '') AS plain FROM documents""",
+    "json_first": "SELECT event_id, event_type AS k FROM events",
+    "warc_pages": "SELECT url, html FROM pages WHERE page_id % 4 <> 1",
+    "dump_pages": "SELECT url, html FROM pages",
+    "page_file_edges": _WITH_PAGES + "SELECT source, target FROM page_edges",
+    "edge_file": f"WITH {_EDGES} SELECT source, target FROM edges",
+    "derived_edges": _DERIVED + "SELECT DISTINCT source, target FROM derived",
+    "derived_edges_external": _DERIVED + "SELECT source, target FROM outward",
+    "derived_resolved": _DERIVED + _INDEX.format("outward SEMI JOIN own USING (target)"),
+    "derived_dangling": _DERIVED + _INDEX.format("outward ANTI JOIN own USING (target)"),
 }

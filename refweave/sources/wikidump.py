@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import tarfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,13 +16,16 @@ from ..schemas import PAGES_HTML
 
 # Fixed value: the longest line.
 LONGEST = 32 << 20
+#: What tarfile says of files that end early.
+CUT = {"unexpected end of data", "truncated header", "empty file"}
 
 
 def _lines(content: bytes) -> Iterator[bytes]:
-    """Lines over all regular members; one may go on from a member into the next. A cut file ends early, without an error."""
+    """Lines over all regular members; one may go on from a member into the next. A cut file ends early, without an error; what is
+    no gzipped tar file, or a damaged one, is an error."""
     carry = b""
     try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+        with tarfile.open(fileobj=gzip.open(io.BytesIO(content)), mode="r|") as tar:
             for member in tar:
                 if not member.isreg() and member.type != tarfile.CONTTYPE:
                     continue
@@ -32,8 +35,11 @@ def _lines(content: bytes) -> Iterator[bytes]:
                     yield from whole
                     if len(carry) > LONGEST:
                         raise ValueError("a line of the dump is too long")
-    except (EOFError, zlib.error, tarfile.ReadError):
+    except EOFError:
         pass
+    except tarfile.ReadError as e:
+        if str(e) not in CUT:
+            raise
     if carry:
         yield carry
 
@@ -56,9 +62,13 @@ def articles(content: bytes) -> Iterator[tuple[str, str]]:
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """url, html of all articles of *.tar.gz and *.tgz files; one file is one task."""
-    files = spark.read.format("binaryFile").load(list(paths)).where(F.lower("path").rlike(r"\.(tar\.gz|tgz)$"))
+    return parse(spark.read.format("binaryFile").load(list(paths)).where(F.lower("path").rlike(r"\.(tar\.gz|tgz)$")))
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def parse(files: DataFrame) -> DataFrame:
+    """url, html of all articles of packed dumps (content)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
                 held, size = [], 0
@@ -71,7 +81,7 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
                 if held:
                     yield pd.DataFrame(held, columns=["url", "html"])
 
-    return files.select("content").mapInPandas(parse, PAGES_HTML)
+    return files.select("content").mapInPandas(run, PAGES_HTML)
 
 
 def read_ndjson(spark: SparkSession, *paths: str) -> DataFrame:
