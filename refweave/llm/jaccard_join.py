@@ -38,7 +38,7 @@ _U = np.uint64
 #: Members of a room that are searched at a time, and candidates that are searched together for one query.
 BLOCK = 512
 #: Shingles of a cluster that one task may search.
-CLUSTER = 4_000_000
+CLUSTER = 2_000_000
 #: Rows of rooms and shingles that are looked at together.
 ROWS = 1 << 17
 #: Bytes of text whose signatures are made at a time.

@@ -10,8 +10,6 @@ import numpy as np
 #: Weight of the probes in DivideSkip's number of long lists, T / (MU log2(longest list) + 1). Probes run on arrays here and
 #: near copies share most of their long lists, so that more lists count as long than with the paper's 0.0085.
 MU = 0.0005
-#: Entries up to which short lists are merged on a heap; beyond it, the same merge runs in numpy's stable sort of runs.
-HEAP = 4096
 
 
 def needed(size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -55,8 +53,8 @@ class Lists:
         longest = int(lengths.max())
         long = min(threshold - 1, int(threshold / (MU * np.log2(longest + 1) + 1)))
         short, rest = at[: len(at) - long], at[len(at) - long :]
-        members, counts = self._merged(short)
-        keep = able[members] & (counts >= need[members] - long)
+        members, counts = self._merged(short, able)
+        keep = counts >= need[members] - long
         members, counts = members[keep], counts[keep]
         for i, token in enumerate(rest[::-1]):  # the longest first: nearly all hold it
             if not len(members):
@@ -69,11 +67,9 @@ class Lists:
                 members, counts = members[keep], counts[keep]
         return members[counts >= need[members]]
 
-    def _merged(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members on the short lists and on how many of them, by one merge."""
-        rows = [self.members[self.start[t] : self.start[t + 1]] for t in tokens]
-        if sum(map(len, rows)) <= HEAP:
-            counted = [(m, sum(1 for _ in same)) for m, same in groupby(heapq.merge(*(r.tolist() for r in rows)))]
-            out = np.array(counted, np.int64).reshape(-1, 2)
-            return out[:, 0], out[:, 1]
-        return np.unique(np.sort(np.concatenate(rows), kind="stable"), return_counts=True)
+    def _merged(self, tokens: np.ndarray, able: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members on the short lists that are able to link, and on how many of them they are: one merge on a heap."""
+        rows = (self.members[self.start[t] : self.start[t + 1]] for t in tokens)
+        merged = heapq.merge(*(r[able[r]].tolist() for r in rows))
+        out = np.array([(m, sum(1 for _ in same)) for m, same in groupby(merged)], np.int64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
