@@ -45,12 +45,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated, once or never, so that sources weigh as the roots of their sizes; shuffled globally."""
+    """Documents repeated, once or never, so that sources weigh as the roots of their sizes; shuffled globally. Null sources are a
+    source; rows of one doc_id, and repeated rows, are drawn alike; an empty table stays empty (mixing.mix)."""
     return mixing.mix(docs).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens (packing.pack)."""
+    """The pieces of all documents with their places in sequences of 2048 tokens (packing.pack). Null and empty texts are one token;
+    repeated rows, and rows without doc_id, are packed each; an empty table gives no pieces."""
     return packing.pack(docs)
 
 

@@ -100,6 +100,23 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> pa.Table:
+    """Of rows (h, text, ...), whose h differ, those of the least h: at most `most`, and most_bytes of text. Texts of more than
+    a 64th of that are left out, so that no single one takes the place of all others."""
+    rows = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes // 64)
+    cut = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if cut is None:
+        return rows.limit(0).toArrow()
+    held = staged(rows.where(F.col("h") <= cut), "sample")
+    total = 0
+    for r in held.select("h", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).orderBy("h").collect():  # `most` rows at most
+        total += r["size"]
+        if total > most_bytes:
+            break
+        cut = r["h"]
+    return held.where(F.col("h") <= cut).toArrow().sort_by([("h", "ascending")])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,6 @@ sample is kept back to fit the temperature of the probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import bounded_sample, fold_of, table
 
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
-#: Labelled texts that weights are trained on at most, those of the least hashes; one in HELD of them fits the temperature.
-FIT, HELD = 6_000, 5
+#: Labelled texts that weights are trained on at most, those of the least hashes, and the bytes they may have; one in HELD of them fits the
+#: temperature.
+FIT, FIT_BYTES, HELD = 6_000, 64 << 20, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]")
 _plain = np.arange(128, dtype=np.uint32)
 _plain[[c for c in range(128) if not chr(c).isalpha()]] = 32
 _CODES = 1 << 16
@@ -64,7 +63,7 @@ class Model:
         return np.append(at, BUCKETS), np.append(value / size if size else value, 1.0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not _letter.search(text):
+        if not self.langs or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         at, value = self.row(text)
         p = softmax((value @ self.weights[at]) / self.temperature)
@@ -132,9 +131,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, BUCKETS)), pa.array(np.append(df[at], texts))], ["bucket", "n"])
 
 
-def fit(docs: DataFrame, most: int = FIT) -> Model:
+def fit(docs: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES) -> Model:
     """A model from docs (text, lang), whose rows without text or lang count for nothing. idf is over all other rows;
-    weights come from at most `most` of them, those of the least hashes of their texts."""
+    weights come from at most `most` of them and most_bytes of text, those of the least hashes; repeated rows are one there."""
     docs = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     got = docs.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
     df, total = np.zeros(BUCKETS), 0
@@ -144,10 +143,10 @@ def fit(docs: DataFrame, most: int = FIT) -> Model:
         else:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    hashed = docs.withColumn("h", F.xxhash64("text"))
+    hashed = docs.withColumn("h", F.xxhash64("text", "lang"))
     cut = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(cut)) if cut is not None else hashed.limit(0)
-    rows = chosen.dropDuplicates(["h", "lang"]).orderBy("h", "lang").toArrow()
+    chosen = hashed.where(F.col("h") <= F.lit(cut)).dropDuplicates(["h"]) if cut is not None else hashed.limit(0)
+    rows = bounded_sample(chosen, most, most_bytes)
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), idf)
 
 
@@ -162,13 +161,15 @@ def _predict(model: Model):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """row (the columns of docs but text, under any names), text, lang_pred, score (calibrated probability of lang_pred).
-    Null texts and texts without a letter: und, 0. So are all texts if nothing was learned. Empty table: empty result."""
+    Null texts and texts without a letter: und, 0. So are all texts if nothing was learned. Texts of any length count as a whole. Each row comes out, repeated ones too.
+    Empty table: empty result."""
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_predict(model), rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three of four folds; und for null texts and those without a letter."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(fold_of(F.col("doc_id"), 4) != 2).select("text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)

@@ -42,7 +42,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share:
     weights: of the sources; without it, a source weighs its bytes to the power alpha. Sources without weight get no copies.
     The mix has about share times the bytes of docs, and within a partition rows are in order of order_key.
     Null source: a source of its own (None in weights). Null text: no bytes, drawn like others. A source without bytes has
-    rate 0 if all its texts are empty. Rows that share a doc_id draw the same number. Empty table: empty result.
+    rate 0 if all its texts are empty. Rows that share a doc_id draw the same number, so repeated rows are repeated alike; texts of any
+    length are moved as they are. Empty table: empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"))
@@ -73,6 +74,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that sources weigh as the roots of their bytes; null sources are a source."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("row.doc_id", "row.source", "copy", "copies", "order_key", F.md5(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_md5"))
 

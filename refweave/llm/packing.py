@@ -281,4 +281,5 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: tuple[str, str | None] |
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens; null texts are one token."""
     return pack(table(spark, sf_dir, "documents"))

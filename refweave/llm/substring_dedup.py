@@ -62,6 +62,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int | Non
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without windows of 20 words that also start earlier; null texts have no words."""
     out = remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 

@@ -61,6 +61,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | Non
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 200 bytes that also start elsewhere; null texts have no bytes."""
     out = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import bounded_sample, fold_of, table
 
-#: Labelled texts that the lexicon is learned from at most, those of the least hashes of their ids.
-FIT = 12_000
+#: Labelled texts that the lexicon is learned from at most, those of the least hashes of their ids, and the bytes they may have.
+FIT, FIT_BYTES = 12_000, 64 << 20
 #: An entry must cover so many toxic texts, and this share of them if it may be one of CHANCE false ones that are expected of
 #: all that are tried, were they held regardless of labels; a text that others cover counts half for each.
 NEW, SHARE, CHANCE = 4, 0.01, 0.05
@@ -272,24 +272,27 @@ def _score(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """row (the columns of docs but text, under any names), text, score (0 to 1), hits (entries found outside exceptions).
-    Null and empty texts have no hits, and the score of such texts. Empty table: empty result."""
+    Null and empty texts have no hits, and the score of such texts. Texts of any length are matched as a whole. Each row comes
+    out, repeated ones and those without doc_id too. Empty table: empty result."""
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(lexicon), rows.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits")).schema)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Lexicon:
-    """A lexicon from docs (doc_id, text) that labels (doc_id, toxic) marks: at most `most` labels, those of the least hashes of
-    their ids; null labels and ids count for nothing, and texts that are null are empty."""
-    marked = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES) -> Lexicon:
+    """A lexicon from docs (doc_id, text) that labels (doc_id, toxic) marks: at most `most` documents, those of the least hashes of
+    their ids, and most_bytes of text; null labels and ids count for nothing, and texts that are null are empty. Of an id's
+    labels, the toxic one counts, and of its texts, the least. Without labels of both kinds, all texts score alike."""
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     cut = marked.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    chosen = marked.where(F.col("h") <= F.lit(cut)) if cut is not None else marked.limit(0)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("h", "text", "toxic").toArrow()
-    got = got.sort_by([("h", "ascending"), ("text", "ascending")])
+    chosen = marked.where(F.col("h") <= F.lit(cut)) if cut is not None else marked.limit(0)  # `most` rows at most
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("h", "toxic").agg(F.min("text").alias("text"))
+    got = bounded_sample(found, most, most_bytes)
     return learn([t or "" for t in got["text"].to_pylist()], [int(y > 0) for y in got["toxic"].to_pylist()])
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of each document, by a lexicon learned from the labels of four of five folds; null and empty texts have a score too."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     lexicon = fit(docs, labels.where(fold_of(F.col("doc_id"), 5) != 0))
     out = score(docs, lexicon)

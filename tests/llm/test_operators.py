@@ -442,13 +442,36 @@ def test_toxicity_held_out_quality(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.85 and n.get((0, 1), 0) < 0.02 * n[0, 0]
 
 
+def test_toxicity_over_hard_rows(docs, spark):
+    lexicon = toxicity.Lexicon({" cdef ": 4.0, " ab": 1.0}, [], -2.0, (1.0, 0.5))
+    matcher = lexicon.matcher()
+    got = toxicity.score(docs, lexicon).select("row.doc_id", "row.row", "text", "score", "hits").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    for r in got:
+        total, share, hits = toxicity.density(matcher, r["text"] or "")
+        assert r["hits"] == hits and r["score"] == pytest.approx(1 / (1 + math.exp(2.0 - total - 0.5 * share)))
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, labels: seen.append((texts, labels)) or toxicity.Lexicon())
+    docs = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(20)] * 5 + [(3, "a"), (4, None), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 500 + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, most=5)
+    toxicity.fit(docs, labels)
+    toxicity.fit(docs, labels, most_bytes=64 * 10)
+    assert len(seen[0][0]) == 5
+    assert sorted(zip(*seen[1], strict=True)) == sorted((("a" if i == 3 else "x" * (i + 1)), i % 2) for i in range(20))
+    assert 0 < sum(map(len, seen[2][0])) <= 640 and max(map(len, seen[2][0])) <= 10
+
+
 def test_language_id(docs, spark):
     found = language_id.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
     assert found.where("score < 0 or score > 1").count() == 0
     model = language_id.train(["der die das und", "the of and to"] * 30, ["de", "en"] * 30, __import__("numpy").ones(language_id.BUCKETS))
     assert (model.weights == 0).mean() > 0.9 and model.temperature > 0
-    assert model.predict(None) == model.predict("") == model.predict("12 !?") == ("und", 0.0)
+    assert model.predict(None) == model.predict("") == model.predict("12 !?") == model.predict("²½ ٣") == ("und", 0.0)
     assert model.predict("und die das")[0] == "de"
     out = language_id.identify(docs, model)
     assert out.count() == docs.count() and out.where("text is null and lang_pred <> 'und'").count() == 0
