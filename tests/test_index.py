@@ -94,12 +94,17 @@ def test_max_pages_keeps_the_first(spark):
 def test_streamed_index_equals_batch_and_survives_reruns(spark, tmp_path):
     edges = synthetic.generate(spark, 100, 4)
     edges.repartition(3).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        stream = spark.readStream.schema("source string, target string").parquet(str(tmp_path / "in"))
-        streaming.maintain_edges(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination()
+    for checkpoint in ("checkpoint", "checkpoint", "lost"):
+        stream = spark.readStream.schema("source string, target string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        streaming.maintain_edges(stream, str(tmp_path / "table"), str(tmp_path / checkpoint), every=2).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "table").glob("*/*=*")) == ["batch=2", "upto=1"]
     assert rows(streaming.read_index(spark, str(tmp_path / "table"))) == rows(index.backlinks(edges))
 
 
+def test_index_of_an_empty_stream_table(spark, tmp_path):
+    assert streaming.read_index(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
