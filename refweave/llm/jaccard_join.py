@@ -17,7 +17,8 @@
    that are still in several components, blocks of BLOCK against each other. Neither loses a link.
 Searches build inverted lists over the candidates' shingles, merge the short ones on a heap and probe the long ones
 (t_occurrence.py). Rooms meet by signature; equal nodes and rooms of one batch of documents are combined before the shuffle.
-Tasks read their rows in order of room, shingle or cluster, and hold one at a time.
+Tasks read their rows in order of room, shingle or cluster, and hold one at a time. Whole texts are joined with rows of a few numbers
+by hashing the latter, a partition of which is far smaller than its texts: sorting the texts takes over 700 MB more of an executor.
 """
 
 from __future__ import annotations
@@ -432,7 +433,7 @@ def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
     clusters = components(pairs)
     one = signed.where("size > 0").groupBy("node").agg(F.min(F.struct("did", "dkey", "size")).alias("x"))
     one = staged(_with_size(one.join(clusters, "node").select("node", "root", "x.did", "x.dkey", "x.size")), "clusters")
-    texts = docs.select("did", "dkey", "text").join(one.drop("size"), ["did", "dkey"]).select("node", "root", "large", "text")
+    texts = docs.select("did", "dkey", "text").join(one.drop("size").hint("shuffle_hash"), ["did", "dkey"]).select("node", "root", "large", "text")
     sets = texts.mapInArrow(_sets(n), "node long, root long, large boolean, tokens array<long>")
     links = staged(_searched(sets.where("not large"), percent), "links")
     if one.where("large").limit(1).count():
@@ -466,7 +467,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     their own; rows equal in id and text are one, and each comes out. Empty table: empty result.
     """
     docs = with_key(docs)
-    return docs.join(_labels(docs, n, percent), ["did", "dkey"])
+    return docs.join(_labels(docs, n, percent).hint("shuffle_hash"), ["did", "dkey"])
 
 
 def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -476,7 +477,7 @@ def first_of_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found = staged(_labels(keyed, n, percent).select("did", "dkey", "group"), "labels")
     firsts = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("did", "dkey")).alias("x")).select("x.did", "x.dkey")
     keys = firsts.unionByName(found.where(F.col("group").isNull()).select("did", "dkey"))
-    once = keyed.join(keys, ["did", "dkey"]).dropDuplicates(["did", "dkey"])
+    once = keyed.join(keys.hint("shuffle_hash"), ["did", "dkey"]).dropDuplicates(["did", "dkey"])
     return once.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
