@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,13 @@ def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> pa.Table:
     return held.where(F.col("h") <= cut).toArrow().sort_by([("h", "ascending")])
 
 
+def give_back() -> None:
+    """Returns the driver's Python memory of work that is over to the system, where the C library can; it would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

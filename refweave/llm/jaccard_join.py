@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NO_ID, Forest, component_ids, components, groups_of, sorted_groups, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
+from .common import NO_ID, Forest, component_ids, components, give_back, groups_of, sorted_groups, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
 from .t_occurrence import Lists
 
 _U = np.uint64
@@ -140,10 +140,14 @@ def _sampled(n: int):
 
 def _broadcast(tokens: DataFrame) -> Broadcast:
     """The sorted tokens that occur more than once, and how often."""
-    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
     token, n = found.column("token").to_numpy().view(_U), found.column("n").to_numpy()
+    del found
     by = np.argsort(token)
-    return tokens.sparkSession.sparkContext.broadcast((token[by], n[by]))
+    out = tokens.sparkSession.sparkContext.broadcast((token[by], n[by]))
+    del token, n, by
+    give_back()
+    return out
 
 
 def common_shingles(docs: DataFrame, n: int) -> Broadcast:

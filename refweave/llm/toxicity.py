@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, table
+from .common import bounded_sample, fold_of, give_back, table
 
 #: Labelled texts that the lexicon is learned from at most, those of the least hashes of their ids, and the bytes they may have.
 FIT, FIT_BYTES = 12_000, 64 << 20
@@ -288,7 +288,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT, most_bytes: int = F
     chosen = marked.where(F.col("h") <= F.lit(cut)) if cut is not None else marked.limit(0)  # `most` rows at most
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("h", "toxic").agg(F.min("text").alias("text"))
     got = bounded_sample(found, most, most_bytes)
-    return learn([t or "" for t in got["text"].to_pylist()], [int(y > 0) for y in got["toxic"].to_pylist()])
+    texts, toxic = [t or "" for t in got["text"].to_pylist()], [int(y > 0) for y in got["toxic"].to_pylist()]
+    del got
+    lexicon = learn(texts, toxic)
+    del texts
+    give_back()
+    return lexicon
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
