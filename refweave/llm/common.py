@@ -74,6 +74,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _writing(spark):
         df.write.parquet(path)
+    give_back()
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -101,21 +102,19 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> pa.Table:
-    """Of rows (h, text, ...), whose h differ, those of the least h: at most `most`, and most_bytes of text. Texts of more than
-    a 64th of that are left out, so that no single one takes the place of all others."""
+def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> dict[str, list]:
+    """Columns of the rows (h, text, ...), whose h differ, of the least h, in its order: at most `most`, and most_bytes of text. Texts
+    of more than a 64th of that are left out, so that no single one takes the place of all others."""
     rows = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes // 64)
-    cut = rows.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    if cut is None:
-        return rows.limit(0).toArrow()
-    held = staged(rows.where(F.col("h") <= cut), "sample")
-    total = 0
-    for r in held.select("h", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).orderBy("h").collect():  # `most` rows at most
-        total += r["size"]
-        if total > most_bytes:
-            break
-        cut = r["h"]
-    return held.where(F.col("h") <= cut).toArrow().sort_by([("h", "ascending")])
+    sizes = rows.select("h", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).orderBy("h").limit(most).toArrow()
+    h, total = sizes["h"].to_numpy(), np.cumsum(sizes["size"].to_numpy(), dtype=np.int64)
+    fits = int(np.searchsorted(total, most_bytes, "right"))
+    got = (rows.where(F.col("h") <= int(h[fits - 1])) if fits else rows.limit(0)).toArrow()
+    order = np.argsort(got["h"].to_numpy(), kind="stable").tolist() if got.num_rows else []
+    columns = {name: got[name].to_pylist() for name in got.column_names}
+    del got
+    give_back()
+    return {name: [values[i] for i in order] for name, values in columns.items()}
 
 
 def give_back() -> None:

@@ -147,7 +147,7 @@ def fit(docs: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES) -> Model:
     cut = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     chosen = hashed.where(F.col("h") <= F.lit(cut)).dropDuplicates(["h"]) if cut is not None else hashed.limit(0)
     rows = bounded_sample(chosen, most, most_bytes)
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), idf)
+    return train(rows["text"], rows["lang"], idf)
 
 
 def _predict(model: Model):

@@ -288,10 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT, most_bytes: int = F
     chosen = marked.where(F.col("h") <= F.lit(cut)) if cut is not None else marked.limit(0)  # `most` rows at most
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("h", "toxic").agg(F.min("text").alias("text"))
     got = bounded_sample(found, most, most_bytes)
-    texts, toxic = [t or "" for t in got["text"].to_pylist()], [int(y > 0) for y in got["toxic"].to_pylist()]
+    lexicon = learn([t or "" for t in got["text"]], [int(y > 0) for y in got["toxic"]])
     del got
-    lexicon = learn(texts, toxic)
-    del texts
     give_back()
     return lexicon
 
