@@ -11,7 +11,8 @@
 4. A shard is some rooms with about SHARD bytes of text. The operator builds its index over them (an FM-index or a suffix
    array), and with it finds the windows that occur more than once, or earlier too. All repeats come from there: those of a
    content's first place from its windows, those of its other places likewise.
-5. The repeated windows go back to their documents by key.
+5. The repeated windows go back to their documents by key. Texts meet what is asked of them, and found in them, by hashing the
+   latter, which is far smaller; sorting texts for it takes far more of an executor's memory.
 
 Nothing here depends on sizes of tables: no counts are capped and all windows of all texts take part. Tasks read their rows
 in order of anchor or room, and hold one shard; an anchor of more than WIDE contents is taken apart into single windows,
@@ -274,12 +275,12 @@ def repeats(docs: DataFrame, find: Find, window: int, k: int, by_words: bool, fi
     dealt = cut.repartition(F.when(F.col("places") == 0, F.xxhash64("did", "dkey", "start")).otherwise(F.col("anchor")))
     met = staged(dealt.sortWithinPartitions("anchor").mapInArrow(_meet(WIDE, WAIT), FOUND), "runs")
     asked = met.where("rooms is not null").groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows", "content", "places", "rooms", "wide")).alias("asked"))
-    pieces = docs.join(asked, ["did", "dkey"]).mapInArrow(_fetch(window, by_words), PIECES)
+    pieces = docs.join(asked.hint("shuffle_hash"), ["did", "dkey"]).mapInArrow(_fetch(window, by_words), PIECES)
     waiting = met.where("rooms is null").select("room", "content", "did", "dkey", "start", "windows", "places", F.lit(None).cast("binary").alias("body"))
     rooms = pieces.unionByName(waiting).repartition("room").sortWithinPartitions("room", F.desc("places"))
     spans = rooms.mapInArrow(_index(find, window, first), SPANS)
     spans = spans.groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    return docs.join(spans, ["did", "dkey"], "left")
+    return docs.join(spans.hint("shuffle_hash"), ["did", "dkey"], "left")
 
 
 def covered(spans: list | np.ndarray | None, window: int) -> list[tuple[int, int]]:
