@@ -118,12 +118,24 @@ def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> dict[str, lis
 
 
 def give_back() -> None:
-    """Returns the driver's Python memory of work that is over to the system, where the C library can; it would keep it otherwise."""
+    """Returns this process's memory of work that is over to the system, where the C library can; it would keep it otherwise."""
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """kernel, after which a worker gives its memory back: workers outlive their tasks and wait beside the JVM for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -243,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
     until no link moves. Each round aggregates one minimum a node before it joins, so no task holds a node's neighbours.
     """
     links = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now = staged(links.where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
+    now = staged(links.where("u <> v").mapInArrow(tidy(_contract), "u long, v long").distinct(), "links")
     total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while total[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, component_ids, groups_of, ordered_id, sorted_groups, staged, table, with_facts
+from .common import NO_ID, component_ids, groups_of, ordered_id, sorted_groups, staged, table, tidy, with_facts
 
 THRESHOLD, RECALL, SEED = 0.9, 0.97, 11
 #: Finer hashes of a room; nodes that a room should have; nodes of a block; rows that are compared at a time.
@@ -192,7 +192,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         raise ValueError("two vectors share a hash; use another one")
     plan = plan_tables(number, threshold, recall)
 
-    placed = nodes.mapInArrow(_rooms_of(plan, seed), "node long, dim int, rooms array<long>").select("node", "dim", F.posexplode("rooms").alias("tab", "room"))
+    placed = nodes.mapInArrow(tidy(_rooms_of(plan, seed)), "node long, dim int, rooms array<long>").select("node", "dim", F.posexplode("rooms").alias("tab", "room"))
     room = ["tab", "room", "dim"]
     sizes = placed.groupBy(*room).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     dealt = with_facts(placed.withColumn("key", F.struct(*room)), sizes.select(F.struct(*room).alias("key"), "blocks", "n"), "key", number * plan.rooms)
@@ -201,7 +201,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     cell = [*room, "i", "j"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = dealt.join(nodes.select("node", "weight", "x"), "node").repartition(tasks, *cell).sortWithinPartitions(*cell)
-    found = staged(groups.mapInArrow(_compare(plan, threshold, seed), "node long, links long, root long"), "near")
+    found = staged(groups.mapInArrow(tidy(_compare(plan, threshold, seed)), "node long, links long, root long"), "near")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = component_ids(nodes.select(F.col("least").alias("did"), "node"), found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ordered_id, staged, table
+from .common import NO_ID, ordered_id, staged, table, tidy
 
 K, SCALE, LEVELS = 10, 1024, (1, 4, 16)
 BLOCK, CHUNK, TILE = 8192, 4_000_000, 256
@@ -163,7 +163,7 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = K, scale: int =
     asked = dealt.where("asks").select("dim", of("blocks"), numbers("chunks"), F.lit(False).alias("candidate"), "row", "vid", "x")
     given = dealt.select("dim", numbers("blocks"), of("chunks"), F.lit(True).alias("candidate"), "row", "vid", "x")
     cells = asked.unionByName(given).repartition(tasks, "dim", "block", "chunk").sortWithinPartitions("dim", "block", "chunk", "candidate")
-    found = cells.mapInArrow(_search(k, scale, levels), FOUND)
+    found = cells.mapInArrow(tidy(_search(k, scale, levels)), FOUND)
     order = Window.partitionBy("qrow").orderBy(F.desc("score"), "vid")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias("query_id"), "rank", F.when(F.col("vid") < NO_ID, F.col("vid")).alias("vec_id"), "score")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import NO_ID, Forest, component_ids, components, give_back, groups_of, sorted_groups, staged, table, text_buffers, unstage, whole_keys, with_facts, with_key
+from .common import NO_ID, Forest, component_ids, components, give_back, groups_of, sorted_groups, staged, table, text_buffers, tidy, unstage, whole_keys, with_facts, with_key
 from .t_occurrence import Lists
 
 _U = np.uint64
@@ -156,7 +156,7 @@ def common_shingles(docs: DataFrame, n: int) -> Broadcast:
     known = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     share = min(1.0, SAMPLE / max(1, known[0]), SAMPLE_BYTES / max(1, known[1] or 0))
     sample = docs.where(F.pmod(F.xxhash64("dkey", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["dkey"]).select("text")
-    return _broadcast(sample.mapInArrow(_sampled(n), "token long"))
+    return _broadcast(sample.mapInArrow(tidy(_sampled(n)), "token long"))
 
 
 def common_in_sets(sets: DataFrame) -> Broadcast:
@@ -386,7 +386,7 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
 def _blocks(rooms: DataFrame) -> DataFrame:
     """key, node, comp, block, i, j: the members of rooms (room, node, comp) of several comps, each set of members once, dealt out
     so that any two members of a room meet in one group (key, i, j)."""
-    mixed = rooms.repartition("room").sortWithinPartitions("room").mapInArrow(_mixed_rooms, "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
+    mixed = rooms.repartition("room").sortWithinPartitions("room").mapInArrow(tidy(_mixed_rooms), "key long, members long, node long, comp long").dropDuplicates(["key", "node"])
     blocks = mixed.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     blocks = blocks.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return blocks.select("key", "node", "comp", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
@@ -394,7 +394,7 @@ def _blocks(rooms: DataFrame) -> DataFrame:
 
 def _cut_down(prefixes: DataFrame, percent: int) -> DataFrame:
     """node, root: clusters that the ties of prefixes (token, node, size, most) make."""
-    return components(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_tied(percent), "u long, v long"))
+    return components(prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(_tied(percent)), "u long, v long"))
 
 
 def _piecewise(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -403,17 +403,17 @@ def _piecewise(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent:
     dealt = with_facts(pairs, many, "u", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
     owns = many.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
     asked = dealt.select("u", "v", "part").unionByName(owns).join(sets.select(F.col("node").alias("v"), "tokens"), "v")
-    links = staged(_dealt(asked, "u", "part").mapInArrow(_search_stars(percent), "u long, v long"), "links")
+    links = staged(_dealt(asked, "u", "part").mapInArrow(tidy(_search_stars(percent)), "u long, v long"), "links")
 
     comps = components(links)
     rooms = prefixes.select(F.col("token").alias("room"), "node").join(comps, "node", "left").select("room", "node", F.coalesce("root", "node").alias("comp"))
-    rest = _dealt(_blocks(rooms).join(sets, "node"), "key", "i", "j").mapInArrow(_search_rooms(percent), "u long, v long")
+    rest = _dealt(_blocks(rooms).join(sets, "node"), "key", "i", "j").mapInArrow(tidy(_search_rooms(percent)), "u long, v long")
     return links.unionByName(rest)
 
 
 def _searched(sets: DataFrame, percent: int) -> DataFrame:
     """Links u, v from sets (root, node, tokens), each cluster in one task."""
-    return _dealt(sets.select("root", "node", "tokens"), "root").mapInArrow(_search_cluster(percent), "u long, v long")
+    return _dealt(sets.select("root", "node", "tokens"), "root").mapInArrow(tidy(_search_cluster(percent)), "u long, v long")
 
 
 def _with_size(clusters: DataFrame) -> DataFrame:
@@ -425,9 +425,9 @@ def _with_size(clusters: DataFrame) -> DataFrame:
 def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """did, dkey, n_shingles, component_id, group of each document of docs (did, dkey, text, ...), once."""
     common = common_shingles(docs, n)
-    signed = staged(docs.mapInArrow(_sign(n, percent, common), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
+    signed = staged(docs.mapInArrow(tidy(_sign(n, percent, common)), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
     linkable = signed.where("size > 0")
-    stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").sortWithinPartitions("room").mapInArrow(_stars, "u long, v long")
+    stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").sortWithinPartitions("room").mapInArrow(tidy(_stars), "u long, v long")
     nearby = linkable.select(F.explode("near").alias("u"), F.col("node").alias("v"))
     pairs = staged(stars.unionByName(nearby).distinct(), "pairs")
     wide, signed = signed, staged(signed.select("did", "dkey", "node", "size"), "nodes")
@@ -438,11 +438,11 @@ def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
     one = signed.where("size > 0").groupBy("node").agg(F.min(F.struct("did", "dkey", "size")).alias("x"))
     one = staged(_with_size(one.join(clusters, "node").select("node", "root", "x.did", "x.dkey", "x.size")), "clusters")
     texts = docs.select("did", "dkey", "text").join(one.drop("size").hint("shuffle_hash"), ["did", "dkey"]).select("node", "root", "large", "text")
-    sets = texts.mapInArrow(_sets(n), "node long, root long, large boolean, tokens array<long>")
+    sets = texts.mapInArrow(tidy(_sets(n)), "node long, root long, large boolean, tokens array<long>")
     links = staged(_searched(sets.where("not large"), percent), "links")
     if one.where("large").limit(1).count():
         sets = staged(sets.where("large").select("node", "tokens"), "sets")
-        prefixes = staged(sets.mapInArrow(_prefixes(percent, common_in_sets(sets)), "token long, node long, size long, most long"), "prefixes")
+        prefixes = staged(sets.mapInArrow(tidy(_prefixes(percent, common_in_sets(sets))), "token long, node long, size long, most long"), "prefixes")
         finer = staged(_with_size(_cut_down(prefixes, percent).join(one.select("node", "size"), "node")), "finer")
         links = staged(links.unionByName(_searched(finer.where("not large").join(sets, "node"), percent)), "links")
         if finer.where("large").limit(1).count():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, table
+from .common import bounded_sample, fold_of, table, tidy
 
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
 #: Labelled texts that weights are trained on at most, those of the least hashes, and the bytes they may have; one in HELD of them fits the
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES) -> Model:
     """A model from docs (text, lang), whose rows without text or lang count for nothing. idf is over all other rows;
     weights come from at most `most` of them and most_bytes of text, those of the least hashes; repeated rows are one there."""
     docs = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    got = docs.mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
+    got = docs.mapInArrow(tidy(_frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
     df, total = np.zeros(BUCKETS), 0
     for r in got:
         if r["bucket"] == BUCKETS:
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Empty table: empty result."""
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    return rows.mapInArrow(tidy(_predict(model)), rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table, with_key
+from .common import staged, table, tidy, with_key
 
 SIZE, CELL = 2048, 20_000
 PIECES = "did long, dkey long, doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: tuple[str, str | None] |
     """
     keyed = with_key(docs.select("doc_id", "text")).select("did", "dkey", F.col("row.doc_id").cast("long").alias("doc_id"), "text")
     columns = PIECES + (", ids array<int>" if with_ids else "")
-    pieces = staged(keyed.mapInArrow(_pieces(vocabulary or vocabulary_paths(), size, end, with_ids), columns), "pieces")
+    pieces = staged(keyed.mapInArrow(tidy(_pieces(vocabulary or vocabulary_paths(), size, end, with_ids)), columns), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # size rows at most
     rows_of, _ = plan(counts, size)
     cells = F.create_map(*(F.lit(x) for pair in ((k, -(-v // CELL)) for k, v in sorted(counts.items()) if v > CELL) for x in pair)) if any(v > CELL for v in counts.values()) else None
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: tuple[str, str | None] |
     ranked = dealt.withColumn("at", F.row_number().over(within) - 1).join(bases, ["length", "cell"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * with_ids), (F.col("base") + F.col("at")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("ids array<int>, " if with_ids else "") + "sequence_id long, offset long"
-    return ranked.mapInArrow(_look_up(rows_of), schema)
+    return ranked.mapInArrow(tidy(_look_up(rows_of)), schema)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

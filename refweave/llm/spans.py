@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import groups_of, staged, text_buffers, whole_keys, with_key
+from .common import groups_of, staged, text_buffers, tidy, whole_keys, with_key
 
 _U = np.uint64
 #: Bytes of text in one index shard, unless one room alone has more; places that are answered at a time.
@@ -270,15 +270,15 @@ def repeats(docs: DataFrame, find: Find, window: int, k: int, by_words: bool, fi
     it also starts anywhere else. Documents equal in id and text are one, and each of their rows comes out.
     """
     docs = with_key(docs)
-    cut = docs.where("text is not null").mapInArrow(_cut(window, k, by_words), RUNS)
+    cut = docs.where("text is not null").mapInArrow(tidy(_cut(window, k, by_words)), RUNS)
     # places that wait are dealt out by place, so that a run that many documents hold doesn't meet in one task
     dealt = cut.repartition(F.when(F.col("places") == 0, F.xxhash64("did", "dkey", "start")).otherwise(F.col("anchor")))
-    met = staged(dealt.sortWithinPartitions("anchor").mapInArrow(_meet(WIDE, WAIT), FOUND), "runs")
+    met = staged(dealt.sortWithinPartitions("anchor").mapInArrow(tidy(_meet(WIDE, WAIT)), FOUND), "runs")
     asked = met.where("rooms is not null").groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows", "content", "places", "rooms", "wide")).alias("asked"))
-    pieces = docs.join(asked.hint("shuffle_hash"), ["did", "dkey"]).mapInArrow(_fetch(window, by_words), PIECES)
+    pieces = docs.join(asked.hint("shuffle_hash"), ["did", "dkey"]).mapInArrow(tidy(_fetch(window, by_words)), PIECES)
     waiting = met.where("rooms is null").select("room", "content", "did", "dkey", "start", "windows", "places", F.lit(None).cast("binary").alias("body"))
     rooms = pieces.unionByName(waiting).repartition("room").sortWithinPartitions("room", F.desc("places"))
-    spans = rooms.mapInArrow(_index(find, window, first), SPANS)
+    spans = rooms.mapInArrow(tidy(_index(find, window, first)), SPANS)
     spans = spans.groupBy("did", "dkey").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), ["did", "dkey"], "left")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 from .fm_index import word_repeats
 from .spans import covered, repeats
 
@@ -58,7 +58,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int | Non
     gram = gram or min(GRAM, window)
     found = repeats(docs, word_repeats, window, gram, True, True)
     rows = found.select("row", "text", "spans")
-    return rows.mapInArrow(_cut(window), T.StructType([rows.schema["row"], rows.schema["text"], *ADDED]))
+    return rows.mapInArrow(tidy(_cut(window)), T.StructType([rows.schema["row"], rows.schema["text"], *ADDED]))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 from .spans import covered, repeats
 from .suffix_array import byte_repeats
 
@@ -57,7 +57,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int | Non
     found = repeats(docs, byte_repeats, window, gram, False, keep_first)
     rows = found.select("row", "text", "spans")
     kept = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
-    return rows.mapInArrow(_cut(window, as_text), T.StructType([rows.schema["row"], rows.schema["text"], kept, *ADDED]))
+    return rows.mapInArrow(tidy(_cut(window, as_text)), T.StructType([rows.schema["row"], rows.schema["text"], kept, *ADDED]))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

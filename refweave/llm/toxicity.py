@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, give_back, table
+from .common import bounded_sample, fold_of, give_back, table, tidy
 
 #: Labelled texts that the lexicon is learned from at most, those of the least hashes of their ids, and the bytes they may have.
 FIT, FIT_BYTES = 12_000, 64 << 20
@@ -276,7 +276,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     out, repeated ones and those without doc_id too. Empty table: empty result."""
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(lexicon), rows.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits")).schema)
+    return rows.mapInArrow(tidy(_score(lexicon)), rows.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("hits")).schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT, most_bytes: int = FIT_BYTES) -> Lexicon:
