@@ -4,9 +4,10 @@
 2. Candidates, exactly: two sets that link differ in at most D shingles, where D follows from their sizes. Cut the hash
    space into more than D ranges, and at least one range holds the same shingles in both (Arasu et al. 2006). So each set
    gives a signature for each range, and linked sets share one at least. A room is all that share a signature.
-   There are SPARE more ranges than that takes, so a few may go: those that are empty, and those that hold nothing but
-   common shingles, by which a passage would tie all its texts together. Which shingles are common comes from a bounded
-   sample; whatever it holds, a range goes only where enough others are sure to be left, so no link depends on it.
+   There are a third and SPARE more ranges than that takes, and each set leaves as many out: first those of the fewest shingles that
+   aren't common, by which a passage, or one shingle that texts share by chance, would tie them together. What is in a range
+   alone says where it comes in this order. Of the ranges in which two sets agree, more than either leaves out, one is left in the set that
+   leaves out more of the order, and so in both. Which shingles are common comes from a bounded sample, on which no link depends.
 3. The rooms tie nodes into clusters, by the node of the least hash in each. A cluster of up to CLUSTER shingles is searched
    in one task: every member in the inverted lists of all, but for those that are already in its component.
 4. Larger clusters, which passages that many texts share may make, are cut down first, by the shingles that are rarest in them: sets
@@ -24,6 +25,7 @@ by hashing the latter, a partition of which is far smaller than its texts: sorti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,10 @@ CLUSTER = 2_000_000
 ROWS = 1 << 17
 #: Bytes of text whose signatures are made at a time.
 SLICE = 1 << 22
-#: Ranges beyond D + 1, so that sets of which a few ranges are empty or common still share another one.
+#: Ranges beyond D + 1 and a third of D, of which each set leaves out as many.
 SPARE = 6
+#: Parts of all rooms that are shuffled one after another, so that only one lies on disk at a time.
+PASSES = 4
 #: Texts of the sample from which shingles that several of them hold count as common, and about their bytes at most.
 SAMPLE, SAMPLE_BYTES = 32_000, 1 << 28
 
@@ -84,8 +88,8 @@ class Bands:
         return (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
     def signatures(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """A hash for each range of the hash space in which this set and a set that it links with may agree; common: sorted
-        shingles, of which alone a range shouldn't consist."""
+        """A hash for each range of the hash space in which this set and a set that it links with may agree, but for those that hold
+        the fewest shingles beside common ones (sorted)."""
         size = len(tokens)
         if not size:
             return np.zeros(0, _U)
@@ -104,15 +108,12 @@ class Bands:
             differ = self.differences(band)
             if not differ:  # only equal sets link
                 continue
-            parts = differ + 1 + SPARE
+            parts = differ + 1 + SPARE + differ // 3
             edges = np.searchsorted(tokens, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U))
             edges = np.concatenate(([0], edges, [size]))
-            value = sums[edges[1:]] - sums[edges[:-1]]
-            full, own_words = edges[1:] > edges[:-1], plain[edges[1:]] > plain[edges[:-1]]
-            agree = parts - differ  # so many ranges are sure to agree
-            keep = own_words if parts - int(own_words.sum()) < agree else full if parts - int(full.sum()) < agree else np.ones(parts, bool)
-            value, place = value[keep], np.flatnonzero(keep)
-            out.append(hashing.mix(value + hashing.mix(place.astype(_U) + _U(band << 32))))
+            value, place = sums[edges[1:]] - sums[edges[:-1]], np.arange(parts)
+            keep = np.lexsort((place, value, np.diff(edges), plain[edges[1:]] - plain[edges[:-1]]))[parts - differ - 1 :]
+            out.append(hashing.mix(value[keep] + hashing.mix(place[keep].astype(_U) + _U(band << 32))))
         return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -140,7 +141,9 @@ def _sampled(n: int):
 
 def _broadcast(tokens: DataFrame) -> Broadcast:
     """The sorted tokens that occur more than once, and how often."""
-    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    often = staged(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")), "common")
+    found = often.toArrow()
+    unstage(often)
     token, n = found.column("token").to_numpy().view(_U), found.column("n").to_numpy()
     del found
     by = np.argsort(token)
@@ -422,16 +425,22 @@ def _with_size(clusters: DataFrame) -> DataFrame:
     return with_facts(clusters, clusters.groupBy("root").agg((F.sum("size") > CLUSTER).alias("large"), F.count("*").alias("n")), "root", clusters.count())
 
 
+def _starred(rooms: DataFrame) -> DataFrame:
+    """Candidates u, v of rooms (room, node)."""
+    return rooms.repartition("room").sortWithinPartitions("room").mapInArrow(tidy(_stars), "u long, v long")
+
+
 def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """did, dkey, n_shingles, component_id, group of each document of docs (did, dkey, text, ...), once."""
     common = common_shingles(docs, n)
     signed = staged(docs.mapInArrow(tidy(_sign(n, percent, common)), "did long, dkey long, node long, size long, rooms array<long>, near array<long>"), "signed")
     linkable = signed.where("size > 0")
-    stars = linkable.select(F.explode("rooms").alias("room"), "node").repartition("room").sortWithinPartitions("room").mapInArrow(tidy(_stars), "u long, v long")
+    rooms = linkable.select(F.explode("rooms").alias("room"), "node")
+    stars = [staged(_starred(rooms.where(F.pmod("room", F.lit(PASSES)) == i)).distinct(), "stars") for i in range(PASSES)]
     nearby = linkable.select(F.explode("near").alias("u"), F.col("node").alias("v"))
-    pairs = staged(stars.unionByName(nearby).distinct(), "pairs")
+    pairs = staged(reduce(DataFrame.unionByName, stars, nearby).distinct(), "pairs")
     wide, signed = signed, staged(signed.select("did", "dkey", "node", "size"), "nodes")
-    unstage(wide)
+    unstage(wide, *stars)
 
     members = signed.where("size > 0").select("did", "dkey", "node")
     clusters = components(pairs)
@@ -448,7 +457,12 @@ def _labels(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if finer.where("large").limit(1).count():
             left = staged(finer.where("large").select("node"), "left")
             mine = lambda rows, c: rows.join(left.withColumnRenamed("node", c), c, "left_semi")
-            links = links.unionByName(_piecewise(staged(mine(sets, "node"), "sets"), mine(prefixes, "node"), mine(mine(pairs, "u"), "v").select("u", "v"), percent))
+            rest = staged(mine(sets, "node"), "sets")
+            unstage(sets)
+            sets = rest
+            links = staged(links.unionByName(_piecewise(sets, mine(prefixes, "node"), mine(mine(pairs, "u"), "v").select("u", "v"), percent)), "links")
+        unstage(sets, prefixes)
+    unstage(pairs)
 
     found = component_ids(members, links)
     nodes = members.groupBy("node").agg(F.min("did").alias("least"), F.count("*").alias("n")).join(found, "node", "left")

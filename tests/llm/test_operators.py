@@ -166,6 +166,38 @@ def test_candidates_are_complete_on_random_sets():
                     assert set(bands.signatures(a, common).tolist()) & set(bands.signatures(b, common).tolist())
 
 
+def test_candidates_are_complete_on_sets_that_barely_link():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for percent in (60, 80, 85):
+        bands = jaccard_join.Bands(percent)
+        for size in (9, 40, 150, 700, 2500):
+            for share in (0, 0.2, 0.6, 0.95):
+                both = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
+                differ = size * (100 - percent) // percent  # in all, so that the similarity is just percent or more
+                left = int(rng.integers(0, differ + 1))
+                a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, k, dtype=np.uint64)))) for k in (left, differ - left))
+                common = np.sort(rng.permutation(both)[: int(share * size)])
+                assert not differ or set(bands.signatures(a, common).tolist()) & set(bands.signatures(b, common).tolist())
+
+
+def test_shingles_shared_by_chance_make_no_candidates():
+    """Sets of which nearly each shares single shingles with some others, as long texts of a large table do."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 300_000, dtype=np.uint64)
+    sets = [np.unique(pool[rng.integers(0, len(pool), 1000)]) for _ in range(300)]
+    assert len(np.unique(np.concatenate(sets))) < 0.7 * sum(map(len, sets))
+    bands, first, forest = jaccard_join.Bands(80), {}, common.Forest(len(sets))
+    for i, x in enumerate(sets):
+        for room in bands.signatures(x, pool[:0]).tolist():
+            forest.join(i, first.setdefault(room, i))
+    sizes = np.bincount([forest.root(i) for i in range(len(sets))])
+    assert sizes.max() < 5  # ranges of one shingle tied 266 of them
+
+
 def test_ties_join_all_sets_that_link():
     import numpy as np
 
