@@ -16,8 +16,9 @@ def hrefs(pages: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, H.unquoted(F.col("__raw")).alias("href"))
 
 
-def pages_to_edges(pages: DataFrame, include_internal: bool = False, articles_only: bool = False, max_pages: int | None = None, order: str = "url", unicode: bool = True) -> DataFrame:
-    """source, target of each page of pages (url, html), each pair of a page once.
+def pages_to_edges(pages: DataFrame, include_internal: bool = False, articles_only: bool = False, max_pages: int | None = None, order: str = "url", unicode: bool = True, once: bool = False) -> DataFrame:
+    """source, target of each page of pages (url, html), each pair of a page once, or with `once` each pair of all pages: several
+    URLs may have one canonical form.
 
     Self-links go, and links within a site unless include_internal; articles_only keeps targets that are articles.
     max_pages keeps the first pages with links, in order of the column `order`. Pages with unusable URLs or without
@@ -37,7 +38,7 @@ def pages_to_edges(pages: DataFrame, include_internal: bool = False, articles_on
     if max_pages is not None:
         first = links.select(order, "source").distinct().orderBy(order, "source").limit(max(1, max_pages))
         links = links.join(first, [order, "source"], "left_semi")
-    return links.select(*dict.fromkeys([order, "source", "target"])).distinct().select("source", "target")
+    return links.select(*dict.fromkeys([*([] if once else [order]), "source", "target"])).distinct().select("source", "target")
 
 
 def external_only(edges: DataFrame) -> DataFrame:

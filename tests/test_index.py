@@ -43,6 +43,18 @@ def test_page_statistics_take_every_crawl_of_a_url(spark, tmp_path):
     assert found == dict(zip(want.columns, want.fetchall()[0], strict=True)) and found["links_emitted"] == 4
 
 
+@pytest.mark.parametrize("name", ["page_edges_internal", "page_edges_external", "max_pages"])
+def test_page_edges_come_once_from_several_forms_of_a_url(spark, tmp_path, name):
+    link = '<a href="/p">x</a><a href="http://b.com/p">x</a>'
+    forms = ["http://a.com/x", "http://a.com/x#top", "http://A.com:80/x", "http://a.com/y"]
+    spark.createDataFrame([(i, u, link) for i, u in enumerate(forms)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(queries.ORACLE_SQL[name]).fetchall())
+    found = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select("source", "target").collect())
+    assert found == want and len(want) == (2 if name == "page_edges_external" else 4)
+
+
 def test_decoding_and_escaping_meet_values_of_the_tables(spark):
     data = "/root/testdata/sf0.1"
     pages, docs = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("pages", "documents"))
