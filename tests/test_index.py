@@ -43,7 +43,7 @@ def test_page_statistics_take_every_crawl_of_a_url(spark, tmp_path):
     assert found == dict(zip(want.columns, want.fetchall()[0], strict=True)) and found["links_emitted"] == 4
 
 
-@pytest.mark.parametrize("name", ["page_edges_internal", "page_edges_external", "max_pages"])
+@pytest.mark.parametrize("name", ["page_edges_internal", "page_edges_external", "page_file_edges", "max_pages"])
 def test_page_edges_come_once_from_several_forms_of_a_url(spark, tmp_path, name):
     link = '<a href="/p">x</a><a href="http://b.com/p">x</a>'
     forms = ["http://a.com/x", "http://a.com/x#top", "http://A.com:80/x", "http://a.com/y"]
