@@ -6,6 +6,7 @@ import json
 import tarfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from refweave import cli
@@ -78,6 +79,22 @@ def test_archive_rules():
     assert warc.decoded("é".encode(), warc.charset("charset=hex")) == "é"
 
 
+def test_archives_leave_workers_in_batches_of_bounded_bytes(spark):
+    bodies = [f"{i}é".encode("latin-1") + b"x" * (1 << 20) for i in range(20)] + [b"", b"y"]
+    files = [b"".join(record(f"u{i}", "text/html; charset=latin-1", b) for i, b in enumerate(bodies)), None, gzip.compress(record("z", "text/html", "é".encode()))]
+    held = list(warc._parsed(iter([pa.record_batch([["a.warc", "b.warc", "c.WARC.gz"], files], names=["path", "content"])])))
+    assert [r for b in held for r in zip(b["path"].to_pylist(), b["record"].to_pylist(), strict=True)] == [("a.warc", i) for i in range(22)] + [("c.WARC.gz", 0)]
+    one = pa.concat_tables([pa.Table.from_batches([b]) for b in held]).combine_chunks().to_batches()[0]
+    kinds = [dict(h)["content-type"] for h in one["http_headers"].to_pylist()]
+    texts = list(warc._texts(iter([pa.record_batch([one["path"], kinds, one["payload"]], names=["url", "kind", "payload"])])))
+    assert [h for b in texts for h in b["html"].to_pylist()] == [b.decode("latin-1") for b in bodies] + ["é"]
+    assert min(len(held), len(texts)) > 3 and max(b.nbytes for b in held + texts) < 2 * warc.BATCH_BYTES
+    small = [record(f"u{i}", "text/html", b"x") for i in range(50)]  # a batch for all files, not one each
+    assert len(list(warc._parsed(iter([pa.record_batch([["a.warc"] * 50, small], names=["path", "content"])])))) == 1
+    plan = warc.html_pages(warc.parse(spark.createDataFrame([("a.warc", bytearray(files[0]))], "path string, content binary")))
+    assert plan.count() == 22 and "InPandas" not in plan._jdf.queryExecution().executedPlan().toString() + plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_edge_lists(spark, tmp_path):
     lines = ["# c", "% c", "", "0\t11342", "0 11342", "0,11342", "0   7", "0 7 0.5", "5 5", " 1 2", "lonely", "3 "]
     (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
