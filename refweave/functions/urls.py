@@ -6,13 +6,8 @@ surplus dots, registry authorities) follows the JDK. The order of the steps is t
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Schemes that are never links, the longest key, the ports that go without saying.
 NO_LINKS = ["javascript", "mailto", "tel", "data", "about", "ftp"]
@@ -21,6 +16,8 @@ DEFAULT_PORTS = {"http": "80", "https": "443"}
 # Characters that java.net.URI leaves alone in a path and in a query.
 PATH_LEGAL = r"A-Za-z0-9_\-!.~'()*:@&=+$,;/"
 QUERY_LEGAL = r"A-Za-z0-9_\-!.~'()*;/?:@&=+$,\[\]"
+# The blanks that NFC replaces, en quad and em quad, as a pattern has them.
+KEPT_BLANKS = r"\u2000\u2001"
 
 
 def _part(url: Column, name: str) -> Column:
@@ -69,16 +66,12 @@ def _encoded(text: Column, legal: str) -> Column:
     return F.when(text.rlike(f"^[{legal}]*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    # runs between blanks and controls, which are escaped before composing
-    return text.map(lambda t: None if t is None else "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(re.split(r"([\s\x00-\x1f\x7f-\x9f]+)", t))))
-
-
 def composed(text: Column) -> Column:
-    """NFC, which the JDK applies before it escapes. Only texts beyond ASCII go to Python; others cost a null."""
-    beyond = text.rlike(r"[^\x00-\x7f]")
-    return F.when(beyond, _composed(F.when(beyond, text))).otherwise(text)
+    """NFC, which the JDK applies before it escapes, by the ICU that Spark itself has. Blanks are escaped before composing, so the two
+    that NFC would replace stay."""
+    one = lambda x: F.when(x.rlike(f"^[{KEPT_BLANKS}]"), x).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(False)))
+    runs = F.regexp_extract_all(text, F.lit(f"[{KEPT_BLANKS}]+|[^{KEPT_BLANKS}]+"), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(runs, one), "")).otherwise(text)
 
 
 def with_resolved(rows: DataFrame, out: str, href: Column, base: Column | None = None, unicode: bool = True) -> DataFrame:
@@ -86,7 +79,7 @@ def with_resolved(rows: DataFrame, out: str, href: Column, base: Column | None =
     no usable web link.
 
     Each step refers to the ones before by name, so that no expression is computed twice; all of them run in one stage.
-    unicode=False leaves NFC out; then all of it stays in the JVM, and differs only for decomposed characters.
+    unicode=False leaves NFC out, and differs only for decomposed characters.
     """
     c = lambda name: F.col(f"__url_{name}")
     empty = F.lit("")

@@ -1,10 +1,13 @@
 """URL normalization against the JDK itself, which the tests have at hand, and against a table of traps."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 from refweave.functions import urls as U
+from refweave.operators import extract
 
 TRAPS = [
     ("http://a.com/p/q?z=1", "?y=2", "http://a.com/p/?y=2"),
@@ -81,6 +84,19 @@ def test_random_links_against_the_jdk(spark):
     assert sum(g is not None for g in got) > 60
 
 
+def test_composing_is_nfc_but_for_blanks_and_takes_no_python(spark):
+    rng = random.Random(4)
+    pool = [chr(c) for c in [*range(0x20, 0x250), *range(0x370, 0x400), *range(0x1100, 0x11F0), *range(0x1E00, 0x2070), *range(0xAC00, 0xAC40), *range(0xF900, 0xF940)]]
+    pool += ["e", "\u0301", "\u0327", "\u0308", " ", "\u2000", "\u2001", "\u3000"] * 60
+    texts = [None, "", "plain", "\u2000e\u0301\u2001"] + ["".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    nfc = lambda t: None if t is None else "".join(x if x in "\u2000\u2001" else unicodedata.normalize("NFC", x) for x in re.split("([\u2000\u2001])", t))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", U.composed(F.col("t")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == [nfc(t) for t in texts]
+    pages = spark.createDataFrame([("http://a.com/", '<a href="/e\u0301">x</a>')], "url string, html string")
+    edges = extract.pages_to_edges(pages, include_internal=True, max_pages=1)
+    assert "EvalPython" not in edges._jdf.queryExecution().optimizedPlan().toString() and edges.first()["target"] == "http://a.com/%C3%A9"
+
+
 @pytest.mark.parametrize("a,b,same", [("www.a.com", "a.com", True), ("www.www.a.com", "a.com", False), ("m.a.com", "a.com", False)])
 def test_same_site(spark, a, b, same):
     assert spark.range(1).select(U.same_site(F.lit(a), F.lit(b))).first()[0] is same
