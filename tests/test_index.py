@@ -103,6 +103,11 @@ def test_max_pages_keeps_the_first(spark):
     assert sorted(r["source"] for r in got.collect()) == ["http://a0.com/", "http://a2.com/"]
 
 
+@pytest.mark.parametrize("name", ["max_pages", "derived_edges_external", "backlinks_pages", "normalize_urls"])
+def test_page_queries_run_no_python(spark, name):
+    assert "EvalPython" not in queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_streamed_index_equals_batch_and_survives_reruns(spark, tmp_path):
     edges = synthetic.generate(spark, 100, 4)
     edges.repartition(3).write.parquet(str(tmp_path / "in"))
